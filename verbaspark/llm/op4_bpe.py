@@ -21,7 +21,7 @@ from verbaspark.llm.minimal_hash import MinimalPerfectHash
 from verbaspark.llm.tables import chunks, documents, id_and_text, map_arrow
 
 #: Pre-tokens outside the vocabulary that a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _BASE = np.uint64(0x100000001B3)
 
 

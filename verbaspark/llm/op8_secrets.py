@@ -33,7 +33,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _VALUE = re.compile(r"[:=][\"'`]*([^\"'`\s]{6,})")
 #: Words whose scores a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def base_spans(text: str, longest: int) -> list[tuple[int, int, int]]:
