@@ -8,6 +8,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ def tensors(images: DataFrame, key: str, column: str) -> DataFrame:
             for raw in batch.column(1).to_pylist():
                 try:
                     got = jpeg.decode(raw) if raw else None
-                except (ValueError, IndexError, KeyError, TypeError):
+                except (ValueError, IndexError, KeyError, TypeError, struct.error):  # whatever damaged bytes lead to
                     got = None
                 shapes.append((None, None) if got is None else got.shape[:2])
                 data.append(None if got is None else got.tobytes())
