@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verbaspark.functions import worldwords as world
 from verbaspark.functions.lexicon import EN_ORDINALS, EN_SCALES, under_1000
 
 
@@ -22,8 +23,11 @@ def _signed(n: Column, minus: str, zero: str, words: Column) -> Column:
 
 
 def cardinal(n: Column, lang: str = "en", joined: bool = True) -> Column:
-    """Words of a whole number below 10**15; null stays null. ``joined``: English ``and`` as in plain numbers."""
+    """Words of a whole number below 10**15 (Italian, Vietnamese and Kinyarwanda: 10**12); null stays null.
+    ``joined``: English ``and`` as in plain numbers."""
     n = n.cast("long")
+    if lang in world.TONGUES:
+        return _eastern(n, lang) if lang in ("zh", "ja", "ko") else _leveled(n, lang)
     a = F.abs(n)
     g = [_div(a, 1000**k) % 1000 for k in range(5)]
     if lang == "en":
@@ -54,6 +58,61 @@ def cardinal(n: Column, lang: str = "en", joined: bool = True) -> Column:
     raise ValueError(f"no number words for {lang!r}")
 
 
+def _pick(table: list[str], at: Column) -> Column:
+    """An entry of a fixed list, which the optimizer folds into one literal."""
+    return F.element_at(F.split(F.lit("|".join(table)), r"\|"), at.cast("int") + 1)
+
+
+def _leveled(n: Column, lang: str) -> Column:
+    """Level by level with a table of 1000 names each; what joins a level to those above is a table as well."""
+    tongue, a = world.TONGUES[lang], F.abs(n)
+    pieces = []
+    for div, size, name in tongue.levels:
+        if div > 10**12:
+            continue
+        g = _div(a, div) % size
+        if lang == "it" and div == 10**6:
+            high = _div(g, 1000)
+            thousands = _pick([""] + [world.TONGUES["it"].levels[2][2](k) for k in range(1, 1000)], high)
+            said = F.when(g == 1, "un milione").otherwise(F.concat_ws(" ", F.when(high > 0, thousands), F.when(g % 1000 > 0, _pick([""] + [name_ for name_ in map(tongue.levels[3][2], range(1, 1000))], g % 1000)), F.lit("milioni")))
+        else:
+            said = _pick([""] + [name(k) for k in range(1, min(size, 1000))], g)
+        joint = lambda below: _pick([""] + [tongue.joint(div, k, below, False) for k in range(1, min(size, 1000))], g % 1000)  # noqa: B023, E731
+        between = F.when(a % div > 0, joint(True)).otherwise(joint(False))
+        pieces.append(F.when(g > 0, F.concat(F.when(a >= min(div * size, 2**63 - 1), between).otherwise(""), said)))
+    out = F.concat_ws("", *pieces)
+    if lang == "hu":
+        out = F.when(a <= 2000, F.replace(out, F.lit("-"), F.lit(""))).otherwise(out)
+    return _signed(n, tongue.minus, tongue.zero, out)
+
+
+def _eastern(n: Column, lang: str) -> Column:
+    """Groups of four digits: signs are set between the digits, then empty places go."""
+    tongue, a = world.TONGUES[lang], F.abs(n)
+    names = "".join(world.digit_words(lang))
+    zero, one = names[0], names[1]
+    thousand, hundred, ten = "천백십" if lang == "ko" else "千百十"
+    pieces, empty_above = [], F.lit(False)
+    for k, sign in ((3, "조" if lang == "ko" else "兆"), (2, "억" if lang == "ko" else "億" if lang == "ja" else "亿"), (1, "만" if lang == "ko" else "万"), (0, "")):
+        g = _div(a, 10_000**k) % 10_000
+        padded = F.translate(F.lpad(g.cast("string"), 4, "0"), "0123456789", names)
+        said = F.regexp_replace(padded, "^(.)(.)(.)(.)$", f"$1{thousand}$2{hundred}$3{ten}$4")
+        if lang == "zh":
+            said = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, f"{zero}[{thousand}{hundred}{ten}]", zero), f"{zero}+", zero), f"^{zero}|{zero}$", "")
+            said = F.when(g < 20, F.regexp_replace(said, f"^{one}{ten}", ten) if k else F.when(a < 20, F.regexp_replace(said, f"^{one}{ten}", ten)).otherwise(said)).otherwise(said)
+            gap = F.when((a >= 10_000 ** (k + 1)) & ((g < 1000) | empty_above), zero).otherwise("")
+        else:
+            said = F.regexp_replace(F.regexp_replace(said, f"{zero}[{thousand}{hundred}{ten}]?", ""), f"{one}(?=[{thousand}{hundred}{ten}])", "")
+            if lang == "ja":
+                said = F.when((_div(g, 1000) == 1) & ((g == 1000) | F.lit(k > 0)), F.concat(F.lit(one), said)).otherwise(said)
+            gap = F.lit("")
+        bare = F.when((g == 1) & F.lit(lang == "ko" and k == 1), "").otherwise(said)
+        pieces.append(F.when(g > 0, F.concat(gap, bare, F.lit(sign))))
+        empty_above = g == 0
+    minus = F.when(n < 0, tongue.minus + ("" if lang == "zh" else " ")).otherwise("")
+    return F.when(n == 0, tongue.zero).when(n.isNotNull(), F.concat(minus, *[F.coalesce(p, F.lit("")) for p in pieces]))
+
+
 def digits(text: Column) -> Column:
     """Each digit of a string by name, English."""
     out = text
