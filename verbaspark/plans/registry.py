@@ -42,6 +42,17 @@ for _lang in ("en", "es", "fr", "de"):
     _cardinal_query(_lang)
 
 
+def _wider_query(lang: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, "part").select("p_partkey", numbers.cardinal(F.col("p_partkey"), lang).alias("words"))
+
+    _query(f"SELECT p_partkey, {sql.wider_cardinal(lang, 'p_partkey')} AS words FROM part" if lang in sql.WIDER else None, f"cardinal_{lang}")(run)
+
+
+for _lang in (*sql.WIDER, "rw"):
+    _wider_query(_lang)
+
+
 @_query(f"SELECT p_partkey, {sql.digits('CAST(p_partkey AS VARCHAR)')} AS words FROM part")
 def digits_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", numbers.digits(F.col("p_partkey").cast("string")).alias("words"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from verbaspark.functions import lexicon as lex
+from verbaspark.functions import worldwords as world
 
 
 def _list(words: list[str]) -> str:
@@ -65,3 +66,83 @@ def year(n: str) -> str:
 
 def digits(text: str) -> str:
     return f"array_to_string(list_transform(string_split({text}, ''), lambda d: {_TABLES['en']}[CAST(d AS BIGINT) + 1]), ' ')"
+
+
+def _low(lang: str, g: str, feminine: bool = False) -> str:
+    """SQL for 0..999 of a language of the wider set; null for 0."""
+    name = {"pt": world._pt, "it": world._it, "sv": world._sv, "hu": world._hu, "hy": world._hy, "vi": world._vi, "ru": lambda n: world._ru(n, feminine), "ar": world._ar, "hi": world._hi}[lang]
+    low = f"CASE WHEN ({g}) % 100 > 0 THEN {_list([name(n) for n in range(100)])}[CAST(({g}) % 100 AS BIGINT) + 1] END"
+    high = f"CASE WHEN ({g}) > 99 THEN {_list(['_', *[name(100 * n) for n in range(1, 10)]])}[CAST(({g}) // 100 AS BIGINT) + 1] END"
+    if lang == "pt":
+        high = f"CASE WHEN ({g}) > 100 AND ({g}) < 200 THEN 'cento' ELSE {high} END"
+    if lang == "vi":
+        low = f"CASE WHEN ({g}) > 99 AND ({g}) % 100 BETWEEN 1 AND 9 THEN 'linh ' ELSE '' END || {low}"
+    glue = {"pt": " e ", "sv": "", "hu": "", "ar": " و"}.get(lang, " ")
+    return f"nullif(concat_ws('{glue}', {high}, {low}), '')"
+
+
+def _thousands(lang: str, g: str) -> str:
+    small = _low(lang, g, feminine=True)
+    if lang == "ru":
+        form = f"CASE WHEN ({g}) % 100 BETWEEN 11 AND 14 THEN 'тысяч' WHEN ({g}) % 10 = 1 THEN 'тысяча' WHEN ({g}) % 10 BETWEEN 2 AND 4 THEN 'тысячи' ELSE 'тысяч' END"
+        return f"{small} || ' ' || {form}"
+    if lang == "ar":
+        return f"CASE WHEN ({g}) = 1 THEN 'ألف' WHEN ({g}) = 2 THEN 'ألفان' WHEN ({g}) <= 10 THEN {small} || ' اَلاف' ELSE {small} || ' ألف' END"
+    one, many = {"pt": ("mil", " mil"), "it": ("mille", "mila"), "sv": ("tusen", "tusen"), "hu": ("ezer", "ezer"), "hy": ("հազար", " հազար"), "vi": ("một nghìn", " nghìn"), "hi": ("एक हज़ार", " हज़ार")}[lang]
+    return f"CASE WHEN ({g}) = 1 THEN '{one}' ELSE {small} || '{many}' END"
+
+
+def _eastern(lang: str, n: str) -> str:
+    """Digit by digit, 0..99,999,999."""
+    names = world.digit_words(lang)
+
+    def four(g: str, low: bool) -> str:
+        parts = []
+        for k, sign in enumerate("천백십" if lang == "ko" else "千百十"):
+            size = 10 ** (3 - k)
+            d = f"(({g}) // {size} % 10)"
+            said = f"{_list(names)}[CAST({d} AS BIGINT) + 1] || '{sign}'"
+            if lang == "zh":
+                bare = f"({g}) < 20" + (f" AND {n} < 20" if low else "")
+                lead = f"CASE WHEN ({g}) >= {size * 100} AND (({g}) // {size * 10} % 10) = 0 THEN '零' ELSE '' END || " if k else ""
+                said = f"{lead}" + (f"CASE WHEN {bare} THEN '十' ELSE {said} END" if sign == "十" else said)
+            else:
+                keep = f" AND NOT (({g}) {'= 1000' if low else '> 0'})" if lang == "ja" and k == 0 else ""
+                said = f"CASE WHEN {d} = 1{keep} THEN '{sign}' ELSE {said} END"
+            parts.append(f"CASE WHEN {d} > 0 THEN {said} ELSE '' END")
+        d = f"(({g}) % 10)"
+        lead = f"CASE WHEN ({g}) >= 100 AND (({g}) // 10 % 10) = 0 THEN '零' ELSE '' END || " if lang == "zh" else ""
+        parts.append(f"CASE WHEN {d} > 0 THEN {lead}{_list(names)}[CAST({d} AS BIGINT) + 1] ELSE '' END")
+        return " || ".join(parts)
+
+    high, low = f"({n} // 10000)", f"({n} % 10000)"
+    sign = "만" if lang == "ko" else "万"
+    top = f"CASE WHEN {high} = 0 THEN '' " + (f"WHEN {high} = 1 THEN '{sign}' " if lang == "ko" else "") + f"ELSE {four(high, False)} || '{sign}' END"
+    gap = f"CASE WHEN {high} > 0 AND {low} BETWEEN 1 AND 999 THEN '零' ELSE '' END || " if lang == "zh" else ""
+    return f"CASE WHEN {n} = 0 THEN '{names[0]}' ELSE {top} || {gap}{four(low, True)} END"
+
+
+#: Languages of the wider set with a twin.
+WIDER = ("pt", "it", "sv", "hu", "hy", "vi", "ru", "ar", "hi", "zh", "ja", "ko")
+
+
+def wider_cardinal(lang: str, n: str) -> str:
+    """SQL for 0 to 999,999 (Hindi: 9,999,999; zh, ja, ko: 99,999,999)."""
+    if lang in ("zh", "ja", "ko"):
+        return _eastern(lang, n)
+    g0, g1 = f"({n} % 1000)", f"({n} // 1000)"
+    last = _low(lang, g0)
+    glue = "''"
+    if lang == "pt":
+        glue = f"CASE WHEN {g0} < 100 OR {g0} % 100 = 0 THEN ' e ' ELSE ' ' END"
+    elif lang == "vi":
+        glue = f"CASE WHEN {g0} < 10 THEN ' linh ' ELSE ' ' END"
+    elif lang == "hu":
+        glue = f"CASE WHEN {n} > 2000 THEN '-' ELSE '' END"
+    else:
+        glue = {"ar": "' و'"}.get(lang, "' '")
+    high = _thousands(lang, g1)
+    if lang == "hi":
+        lakh, g1 = f"({n} // 100000)", f"({n} // 1000 % 100)"
+        high = f"concat_ws(' ', CASE WHEN {lakh} > 0 THEN {_low('hi', lakh)} || ' लाख' END, CASE WHEN {g1} > 0 THEN {_thousands('hi', g1)} END)"
+    return f"CASE WHEN {n} = 0 THEN '{world.TONGUES[lang].zero}' WHEN {n} < 1000 THEN {last} WHEN {g0} = 0 THEN {high} ELSE {high} || {glue} || {last} END"
