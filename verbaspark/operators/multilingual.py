@@ -122,15 +122,17 @@ VOICES = {
         units=_units("kg kilogramm kilogramm;g gramm gramm;km kilométer kilométer;m méter méter;cm centiméter centiméter;mm milliméter milliméter;ml milliliter milliliter;l liter liter;min perc perc")),
     "hy": Voice("մինուս", "ամբողջ", percent="տոկոս", after="denominator", units=_units("կգ կիլոգրամ կիլոգրամ;կմ կիլոմետր կիլոմետր")),
     "vi": Voice("âm", "phẩy", percent="phần trăm", money={"₫": ("đồng", "đồng", "", ""), "$": ("đô la", "đô la", "xu", "xu"), "usd": ("đô la", "đô la", "xu", "xu"), "USD": ("đô la", "đô la", "xu", "xu"), "€": ("ơ rô", "ơ rô", "xu", "xu"), "¥": ("yên nhật", "yên nhật", "", ""), "£": ("bảng anh", "bảng anh", "xu", "xu"), "₹": ("rupee", "rupee", "", "")},
-        units=_units("kg ki_lô_gam ki_lô_gam;g gam gam;mg mi_li_gam mi_li_gam;km ki_lô_mét ki_lô_mét;m mét mét;cm xăng_ti_mét xăng_ti_mét;mm mi_li_mét mi_li_mét;ml mi_li_lít mi_li_lít;l lít lít;inch inch inch;m² mét_vuông mét_vuông;m³ mét_khối mét_khối;cm³ xăng_ti_mét_khối xăng_ti_mét_khối;km² ki_lô_mét_vuông ki_lô_mét_vuông;°C độ_C độ_C"), per="trên"),
+        units=_units("kg ki_lô_gam ki_lô_gam;g gam gam;mg mi_li_gam mi_li_gam;km ki_lô_mét ki_lô_mét;m mét mét;cm xăng_ti_mét xăng_ti_mét;mm mi_li_mét mi_li_mét;ml mi_li_lít mi_li_lít;l lít lít;inch inch inch;m² mét_vuông mét_vuông;m³ mét_khối mét_khối;cm³ xăng_ti_mét_khối xăng_ti_mét_khối;km² ki_lô_mét_vuông ki_lô_mét_vuông;°C độ_C độ_C;gb gi_ga_bai gi_ga_bai;mb mê_ga_bai mê_ga_bai;v vôn vôn;w oát oát;kw ki_lô_oát ki_lô_oát;ha héc_ta héc_ta;hz héc héc"), per="trên"),
     "ru": Voice("минус", "целых", percent="процентов", after="denominator", thousands=r"[.  ]"),
-    "ar": Voice("سالب", "فاصلة", comma=False, thousands=r",", percent="في المئة", after="number"),
+    "ar": Voice("سالب", "فاصلة", comma=False, thousands=r",", percent="في المئة", after="number", money={"$": ("دولار", "دولار", "سنت", "سنتات"), "€": ("يورو", "يورو", "سنت", "سنتات"), "د.ك": ("دينار كويتي", "دينار كويتي", "فلس", "فلس")}, minor_joint=" و"),
     "rw": Voice("minus", "virgule", thousands=r"(?!)"),
     "hi": Voice("ऋणात्मक", "दशमलव", comma=False, thousands=r"(?!)", money={"₹": ("रुपया", "रुपए", "पैसा", "पैसे"), "$": ("डॉलर", "डॉलर", "सेंट", "सेंट"), "£": ("पाउंड", "पाउंड", "पेंस", "पेंस"), "€": ("यूरो", "यूरो", "सेंट", "सेंट")}, minor_joint=" ",
-        units=_units("kg किलोग्राम किलोग्राम;g ग्राम ग्राम;km किलोमीटर किलोमीटर;m मीटर मीटर;cm सेंटीमीटर सेंटीमीटर;mm मिलीमीटर मिलीमीटर;ml मिलीलीटर मिलीलीटर;l लीटर लीटर")),
+        units=_units("kg किलोग्राम किलोग्राम;g ग्राम ग्राम;km किलोमीटर किलोमीटर;m मीटर मीटर;cm सेंटीमीटर सेंटीमीटर;mm मिलीमीटर मिलीमीटर;ml मिलीलीटर मिलीलीटर;l लीटर लीटर;ac एकड़ एकड़;ft फ़ुट फीट;K केल्विन केल्विन;oz आउन्स आउन्स;yr साल साल;pt पिंट पिंट;dg डेसीग्राम डेसीग्राम;mi मील मील;hr घंटा घंटे;min मिनट मिनट;s सेकंड सेकंड;cl सेंटीलीटर सेंटीलीटर;t टन टन"), per="प्रति"),
     "zh": Voice("负", "点", comma=False, thousands=",", percent="百分之", units=_units("kg 千克 千克;g 克 克;km 千米 千米;m 米 米;cm 厘米 厘米;mm 毫米 毫米;ml 毫升 毫升;℃ 摄氏度 摄氏度"), money={"$": ("美元", "美元", "", ""), "€": ("欧元", "欧元", "", ""), "¥": ("元", "元", "", ""), "￥": ("元", "元", "", ""), "£": ("英镑", "英镑", "", "")}),
     "ja": Voice("マイナス", "点", comma=False, thousands=r"(?!)"),
-    "ko": Voice("마이너스", "점", comma=False, thousands=",", percent=" 퍼센트"),
+    "ko": Voice("마이너스", "점", comma=False, thousands=",", percent=" 퍼센트",
+        money={"₩": ("원", "원", "", ""), "$": ("달러", "달러", "센트", "센트"), "€": ("유로", "유로", "센트", "센트"), "£": ("파운드", "파운드", "펜스", "펜스"), "¥": ("엔", "엔", "", ""), "CAD": ("캐나다 달러", "캐나다 달러", "", "")},
+        units=_units("kg 킬로그램 킬로그램;g 그램 그램;mg 밀리그램 밀리그램;km 킬로미터 킬로미터;m 미터 미터;cm 센티미터 센티미터;mm 밀리미터 밀리미터;ml 밀리리터 밀리리터;l 리터 리터"), per="퍼"),
 }
 
 _HU_PARTS = ("", "tized", "század", "ezred", "tízezred", "százezred", "milliomod")
@@ -144,6 +146,45 @@ _PT_ORDINAL_TENS = "_ décimo vigésimo trigésimo quadragésimo quinquagésimo
 _DE_ORDINALS = {"eins": "erster", "drei": "dritter", "sieben": "siebter", "acht": "achter", "null": "nullter"}
 _SV_ORDINALS = "_ första andra tredje fjärde femte sjätte sjunde åttonde nionde tionde elfte tolfte trettonde fjortonde femtonde sextonde sjuttonde artonde nittonde".split()
 _VI_ORDINALS = {1: "nhất", 4: "tư"}
+_ES_ORDINAL_HUNDREDS = "_ centésimo ducentésimo tricentésimo cuadringentésimo quingentésimo sexcentésimo septingentésimo octingentésimo noningentésimo".split()
+_HI_ORDINALS = {1: "पहल", 2: "दूसर", 3: "तीसर", 4: "चौथ", 6: "छठ"}
+_RU_ORDINALS = "нулев перв втор трет четверт пят шест седьм восьм девят десят одиннадцат двенадцат тринадцат четырнадцат пятнадцат шестнадцат семнадцат восемнадцат девятнадцат".split()
+_RU_ORDINAL_TENS = "_ _ двадцат тридцат сороков пятидесят шестидесят семидесят восьмидесят девяност".split()
+_RU_ORDINAL_HUNDREDS = "_ сот двухсот трехсот четырехсот пятисот шестисот семисот восьмисот девятисот".split()
+_RU_ENDINGS = {"я": "ая", "е": "ое", "го": "ого", "м": "ом", "му": "ому", "х": "ых", "ю": "ую"}
+_KO_NATIVE = "_ 한 두 세 네 다섯 여섯 일곱 여덟 아홉".split()
+_KO_NATIVE_TENS = "_ 열 스물 서른 마흔 쉰 예순 일흔 여든 아흔".split()
+_AR_PARTS = "_ واحد|نصف نصفان|ثلث أثلاث|ربع أرباع|خمس أخماس|سدس أسداس|سبع أسباع|ثمن أثمان|تسع أتساع|عشر أعشار".split("|")
+_AR_PLACES = ("", "عشرة", "مئة", "ألف", "عشرة آلاف", "مئة ألف", "مليون")
+
+
+def _ru_ordinal(n: int, ending: str) -> str:
+    """Russian ordinal with the ending that stands behind the digits."""
+    low = n % 100
+    if low == 0 and n >= 100:
+        head, stem = n - n % 1000, _RU_ORDINAL_HUNDREDS[n // 100 % 10] if n % 1000 else "тысячн"
+    elif low < 20 or low % 10 == 0:
+        head, stem = n - low, _RU_ORDINALS[low] if low < 20 else _RU_ORDINAL_TENS[low // 10]
+    else:
+        head, stem = n - n % 10, _RU_ORDINALS[n % 10]
+    if stem == "трет":
+        said = "третий" if ending == "й" else "трет" + {"я": "ья", "е": "ье", "го": "ьего", "м": "ьем", "му": "ьему", "х": "ьих", "ю": "ью"}[ending]
+    elif ending == "й":
+        said = stem + ("ой" if stem in ("нулев", "втор", "шест", "седьм", "восьм", "сороков") else "ый")
+    else:
+        said = stem + _RU_ENDINGS[ending]
+    return f"{say(head, 'ru')} {said}" if head else said
+
+
+def _roman(text: str, lang: str) -> str | None:
+    n = english.roman(text.upper())
+    return say(n, lang)
+
+
+def _hi_ordinal(n: int, ending: str) -> str:
+    if n in _HI_ORDINALS:
+        return _HI_ORDINALS[n] + {"ां": "ा", "ीं": "ी", "ें": "े"}.get(ending, ending)
+    return say(n, "hi") + "व" + {"ा": "ां", "ी": "ीं", "े": "ें"}.get(ending, ending)
 
 
 def ordinal(n: int, lang: str) -> str | None:
@@ -158,6 +199,12 @@ def ordinal(n: int, lang: str) -> str | None:
         low, tens = (_ES_ORDINALS, _ES_ORDINAL_TENS) if lang == "es" else (_PT_ORDINALS, _PT_ORDINAL_TENS)
         if n < len(low):
             return low[n]
+        if lang == "es" and 12 < n < 30:
+            return {1: "decimo", 2: "vigesimo"}[n // 10] + low[n % 10] if n % 10 else tens[n // 10]
+        if lang == "es" and 100 <= n < 1000:
+            return _ES_ORDINAL_HUNDREDS[n // 100] + (f" {ordinal(n % 100, 'es')}" if n % 100 else "")
+        if lang == "es" and n == 1000:
+            return "milésimo"
         return f"{tens[n // 10]} {low[n % 10]}" if n < 100 and n % 10 else tens[n // 10] if n < 100 else None
     if lang == "de":
         words = say(n, "de")
@@ -207,6 +254,8 @@ def number(text: str, lang: str, plain: bool = False) -> str:
             said = f"{world._ru_thousands(a).rpartition(' ')[0] if a < 1000 else say(a, 'ru')} {'целая' if one(a) else 'целых'} {world._ru_thousands(b).rpartition(' ')[0] if b < 1000 else say(b, 'ru')} {_RU_PARTS[places]}{'ая' if one(b) else 'ых'}"
         elif lang == "hy" and places < len(_HY_PARTS):
             said = f"{said} ամբողջ {say(int(rest), 'hy')} {_HY_PARTS[places]}"
+        elif lang == "ar" and places < len(_AR_PLACES):
+            said = f"{said} و{say(int(rest), 'ar')} من {_AR_PLACES[places]}"
         elif lang == "sv" and said == "ett":
             said = f"en komma {after_point(rest, lang)}"
         else:
@@ -238,6 +287,10 @@ def money(amount: str, sign: str, lang: str, scale: str = "") -> str:
     one, many, minor_one, minor_many = voice.money[sign]
     if lang in ("zh", "ja"):
         return number(amount, lang) + scale + many
+    if lang == "ko" and sign == "₩":
+        return number(amount, lang) + scale + many
+    if lang == "ko" and scale:
+        return f"{number(amount, lang)}{scale} {many}"
     if scale:
         return f"{number(amount, lang)} {scale} {'de ' if lang in ('es', 'pt') else ''}{many}"
     mark = "," if voice.comma else "."
@@ -328,12 +381,17 @@ def fraction(top: str, bottom: str, lang: str) -> str | None:
         return f"{say(a, 'vi')} phần {'tư' if b == 4 else say(b, 'vi')}"
     if lang == "hi":
         return f"{say(a, 'hi')} बटा {say(b, 'hi')}"
+    if lang == "ar" and b > 0:
+        if b > 10:
+            return None
+        one, many = _AR_PARTS[b - 1].split()
+        return one if a == 1 else f"{say(a, 'ar')} {many}"
     if lang == "de" and b > 1:
         name = _DE_PARTS.get(b) or say(b, "de") + ("tel" if b % 100 < 20 else "stel")
         return f"{'ein' if a == 1 else say(a, 'de')} {name}"
     if lang == "es" and b > 1:
-        name = _ES_PARTS.get(b) or (_ES_ORDINALS[b] if b < 10 else say(b, "es").replace(" y ", "i") + "avo" if b < 100 else None)
-        return None if name is None else "medio" if (a, b) == (1, 2) else f"{_before_noun(say(a, 'es'))} {name}{'s' if a > 1 else ''}"
+        name = _ES_PARTS.get(b) or {100: "centésimo", 1000: "milésimo"}.get(b) or (_ES_ORDINALS[b] if b < 10 else re.sub("[oae]$", "", say(b, "es").replace(" y ", "i")) + "avo" if b < 100 else None)
+        return f"{say(a, 'es')} sobre {say(b, 'es')}" if name is None else "medio" if (a, b) == (1, 2) else f"{_before_noun(say(a, 'es'))} {name}{'s' if a > 1 else ''}"
     if lang == "pt" and b > 1:
         name = {2: "meio", 3: "terço"}.get(b) or (_PT_ORDINALS[b] if b < 11 else f"{say(b, 'pt')} avo")
         return f"{say(a, 'pt')} {name}{'s' if a > 1 else ''}"
@@ -385,18 +443,32 @@ def _rules(lang: str) -> tuple[re.Pattern, list]:
         add("time", begin + r"([01]?\d|2[0-4]) (?:Uhr|uhr)" + end, lambda g: clock(g[0], "0", "de"))
     if v.money:
         signs = "|".join(re.escape(s) for s in sorted(v.money, key=len, reverse=True))
-        scale = {"es": "millón|millones|billón|billones", "de": "million|millionen|milliarde|milliarden", "pt": "milhão|milhões|bilhão|bilhões", "sv": "miljon|miljoner|miljard|miljarder", "it": "milioni|miliardi", "zh": "万|亿", "vi": "triệu|tỷ"}.get(lang, "(?!)")
+        scale = {"es": "millón|millones|billón|billones", "de": "million|millionen|milliarde|milliarden", "pt": "milhão|milhões|bilhão|bilhões", "sv": "miljon|miljoner|miljard|miljarder", "it": "milioni|miliardi", "zh": "万|亿", "ko": "만|억|조", "vi": "triệu|tỷ"}.get(lang, "(?!)")
         add("money", rf"(?<![\w.,])({signs}) ?({whole}(?:{mark}\d+)?)(?: ?({scale}))?" + (end if word else ""), lambda g: money(g[1], g[0], lang, g[2] or ""))
-        if lang not in ("de", "hi"):
+        if lang not in ("de", "hi", "ko"):
             add("money", rf"{begin}({whole}(?:{mark}\d+)?)(?: ({scale}))? ?({signs})" + (end if word else ""), lambda g: money(g[0], g[2], lang, g[1] or ""))
     if v.percent:
         add("percent", rf"{begin}({num}) ?%(?!\w)" if word else rf"{begin}({num}) ?%", lambda g: percent(g[0], lang))
     if v.units:
         units = "|".join(re.escape(u) for u in sorted(v.units, key=len, reverse=True))
         per = "|h" if v.per else ""
-        add("measure", rf"{begin}({num}) ?({units})(?:/({units}{per}))?(?![\w/²³])" if word else rf"{begin}({num}) ?({units})(?![A-Za-z/])", lambda g: measure(g[0], g[1], lang, (g[2] if len(g) > 2 else "") or ""))
+        add("measure", rf"{begin}({num}) ?({units})(?:/({units}{per}))?(?![\w/²³])" if word else (rf"{begin}({num}) ?({units})(?:/({units}))?(?![A-Za-z/가-힣])" if lang == "ko" else rf"{begin}({num}) ?({units})(?![A-Za-z/])"), lambda g: measure(g[0], g[1], lang, (g[2] if len(g) > 2 else "") or ""))
     if fraction("1", "2", lang):
         add("fraction", rf"{begin}(\d+)/([1-9]\d*)" + (r"(?![\w/])" if word else r"(?![\d/])"), lambda g: fraction(g[0], g[1], lang))
+    if lang == "ko":
+        add("ordinal", r"(?<!\d)([1-9]\d?)번째", lambda g: (("첫" if g[0] == "1" else ("스무" if g[0] == "20" else (_KO_NATIVE_TENS[int(g[0]) // 10] if len(g[0]) > 1 else "") + (_KO_NATIVE[int(g[0]) % 10] if int(g[0]) % 10 else "")))) + "번째")
+        add("number", rf"{begin}({num})(?=[가-힣A-Za-z℃°]|입)", lambda g: number(g[0], "ko") + " ")
+    if lang == "ru":
+        add("ordinal", begin + r"(\d{1,6})-?(го|му|й|я|е|м|х|ю)(?!\w)", lambda g: _ru_ordinal(int(g[0]), g[1]))
+    if lang == "hi":
+        add("ordinal", begin + r"(\d+) ?व?([ा-ौ]ं?|ां|ीं|ें)(?!\w)", lambda g: _hi_ordinal(int(g[0]), g[1]))
+    if lang == "vi":
+        add("roman", r"(?i:(?<=chương )|(?<=phần )|(?<=mục )|(?<=khoản )|(?<=khóa )|(?<=đoạn )|(?<=thế kỉ )|(?<=thế kỷ )|(?<=điều )|(?<=thứ ))((?i:(?=[ivxl])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})))(?!\w)", lambda g: _roman(g[0], "vi"))
+    if lang == "ja":
+        add("range", r"(?<=[\d日月年紀時分])(〜)(?=\d)", lambda g: "から")
+        add("weekday", r"\(([月火水木金土日])(?:〜([月火水木金土日]))?\)", lambda g: f"{g[0]}曜日" + (f"から{g[1]}曜日" if g[1] else ""))
+    if lang == "de":
+        add("ordinal", r"^(\d+)\.(?=$| [A-ZÄÖÜ])", lambda g: ordinal(int(g[0]), "de"))
     if lang == "fr":
         add("ordinal", begin + r"(\d+)(?:(er|e|ème|°)|(ère|re))" + end, lambda g: "première" if g[0] == "1" and g[2] else ordinal(int(g[0]), "fr"))
     if lang in ("es", "pt"):
@@ -453,7 +525,7 @@ def normalize_one(text: str | None, lang: str) -> str | None:
 
 
 #: A text that this does not match has no span in these languages.
-TRIGGER = r"[\p{Nd}@]|://|www\.|(?:Dra?|Sra?)\. "
+TRIGGER = r"[\p{Nd}@]|://|www\.|(?:Dra?|Sra?)\. |(?i:chương|phần|mục|khoản|khóa|đoạn|thế kỉ|thế kỷ|điều|thứ) [ivxlIVXL]|\([月火水木金土日]"
 
 
 def normalize(df: DataFrame, lang: str | Column = "lang", column: str = "text", out: str = "spoken") -> DataFrame:
