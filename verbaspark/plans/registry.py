@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbaspark.functions import numbers, text
-from verbaspark.operators import english
+from verbaspark.operators import english, multilingual, spacing, tokens, transducer
+from verbaspark.plans import reports
 from verbaspark.plans import sql_words as sql
+from verbaspark.runtime import ship
+from verbaspark.sources import protocol
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -220,3 +223,73 @@ def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch protocol's reply lines: a status and the text's UTF-8 bytes in hex."""
     return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("OK\t"), F.hex(F.encode("text", "UTF-8"))).alias("line"))
+
+
+# All languages, texts to texts
+
+
+@_query()
+def normalize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken form of every document in its own language."""
+    return multilingual.normalize(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "spoken")
+
+
+@_query()
+def normalize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken form of every turn of the conversations, as English."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return english.normalize(turns).select("conv_id", "turn", "spoken")
+
+
+@_query()
+def detokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after its marks were set apart and joined again."""
+    apart = F.regexp_replace("text", r"([,.?!:;()\"'])", " $1 ")
+    ship(spark)
+    return _table(spark, sf_dir, "documents").select("doc_id", spacing.detokenize(apart, F.col("lang")).alias("result"))
+
+
+@_query()
+def match_spaces_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the spaces around its marks restored after they were removed."""
+    tight = F.regexp_replace("text", r" ?([,.?!:;]) ?", "$1")
+    ship(spark)
+    return _table(spark, sf_dir, "documents").select("doc_id", spacing.align(F.col("text"), tight).alias("result"))
+
+
+@_query()
+def batch_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch protocol's reply to each document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", protocol.request(F.coalesce("text", F.lit("")), F.col("lang")).alias("line"))
+    return protocol.replies(docs).select("doc_id", "reply")
+
+
+_TAGGED = """'tokens { date { month: "' || o_orderpriority || '" day: "' || o_orderkey || '" } } tokens { name: "' || o_orderstatus || '" } '"""
+
+
+@_query(f"""SELECT o_orderkey, '[{{"tokens": {{"date": {{"month": "' || o_orderpriority || '", "day": "' || o_orderkey || '"}}}}}}, {{"tokens": {{"name": "' || o_orderstatus || '"}}}}]' AS tokens FROM orders""")
+def read_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified tokens read into JSON."""
+    ship(spark)
+    tagged = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TAGGED).alias("tagged"))
+    return tagged.select("o_orderkey", tokens.token_json(F.col("tagged")).alias("r")).select("o_orderkey", F.col("r.tokens").alias("tokens"))
+
+
+#: A to B and digits to x, one byte at a time; the dearer arc of a never wins.
+_SMALL_GRAPH = transducer.Graph([(0, 0, b, b, 0) for b in range(1, 256) if not 48 <= b <= 57 and b != 65] + [(0, 0, 65, 66, 0), (0, 0, 65, 67, 1)] + [(0, 0, b, 120, 0.5) for b in range(48, 58)], {0: 0})
+
+
+@_query("SELECT c_custkey, translate(c_name, 'A0123456789', 'Bxxxxxxxxxx') AS output FROM customer")
+def transduce_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer names through a small weighted transducer."""
+    ship(spark)
+    names = _table(spark, sf_dir, "customer").select("c_custkey", transducer.rewrite(F.col("c_name"), _SMALL_GRAPH).alias("r"))
+    return names.select("c_custkey", F.col("r.output").alias("output"))
+
+
+@_query("SELECT lang, outcome, count(*) AS cases FROM (SELECT lang, CASE WHEN n_chars = length(text) THEN 'exact' ELSE 'mismatch' END AS outcome FROM documents) GROUP BY ROLLUP (lang, outcome)")
+def parity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by language with totals, over the stored lengths of documents."""
+    none = F.lit(None).cast("string")
+    docs = _table(spark, sf_dir, "documents")
+    return reports.tally(docs.select("lang", reports.outcome(F.length("text"), none, F.col("n_chars"), none).alias("outcome")))
