@@ -76,7 +76,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "documents"):
+    for t in ("part", "orders", "customer", "lineitem", "events", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     mine, theirs = registry.QUERIES[name](spark, SMALL).toPandas(), con.sql(registry.ORACLES[name]).df()
     cols = sorted(mine.columns)

@@ -262,14 +262,24 @@ def _address(m: re.Match) -> str:
 
 
 _ALL = re.compile("|".join(f"(?P<rule{k}>{pattern})" for k, (_, pattern, _) in enumerate(RULES)))
+_WORD_STARTS = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
+#: Where a span can begin at all: other places need not try the rules.
+_BEGIN = re.compile(
+    r"[\d<$£€¥₩_]|[^\x00-\x7f]|[.+\-](?=[\w.+\-&@])|\((?=\d)|'(?=\d)| ?&|(?<![A-Za-z\d])(?=[\w+\-]*[\d@._$:&+\-])[A-Za-z]"
+    rf"|\b(?i:(?:{_WORD_STARTS})\.?[ \-]\d|the \d|(?:chapter|part|section|volume|act) [ivxl])"
+)
 #: A text that this does not match has no span (Java and Python syntax).
 TRIGGER = r"[0-9@&<]|://|www\.|\w\.(?:com|org|net|edu|uk|de|fr|it)\b|(?:Dr|Mr|Mrs|Ms)\. |(?i:chapter|part|section|volume|act) [IVXL]|\w_\w"
 
 
 def spans(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, class and spoken form of each span of a text, from left to right."""
-    out = []
-    for m in _ALL.finditer(text):
+    out, at = [], 0
+    while place := _BEGIN.search(text, at):
+        m = _ALL.match(text, place.start())
+        at = m.end() if m else place.start() + 1
+        if not m:
+            continue
         k = int(m.lastgroup[4:]) if m.lastgroup and m.lastgroup.startswith("rule") else next(i for i in range(len(RULES)) if m[f"rule{i}"] is not None)
         kind, _, read = RULES[k]
         out.append((m.start(), m.end(), kind, read(m)))

@@ -31,6 +31,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of few splits over all cores, since one row group is one task; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 # Numbers
 
 
@@ -181,7 +187,7 @@ _text_query("pre_process", text.pre_process, r"regexp_replace(regexp_replace({t}
 def normalize_en_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken form of every English document."""
     docs = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    return english.normalize(docs).select("doc_id", "spoken")
+    return english.normalize(_spread(docs)).select("doc_id", "spoken")
 
 
 @_query("SELECT lang, count(*) AS documents, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_digits, count(DISTINCT text) AS texts FROM documents GROUP BY lang")
@@ -231,14 +237,14 @@ def hex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def normalize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken form of every document in its own language."""
-    return multilingual.normalize(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "spoken")
+    return multilingual.normalize(_spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))).select("doc_id", "lang", "spoken")
 
 
 @_query()
 def normalize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken form of every turn of the conversations, as English."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return english.normalize(turns).select("conv_id", "turn", "spoken")
+    return english.normalize(_spread(turns)).select("conv_id", "turn", "spoken")
 
 
 @_query()
@@ -246,7 +252,7 @@ def detokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after its marks were set apart and joined again."""
     apart = F.regexp_replace("text", r"([,.?!:;()\"'])", " $1 ")
     ship(spark)
-    return _table(spark, sf_dir, "documents").select("doc_id", spacing.detokenize(apart, F.col("lang")).alias("result"))
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", spacing.detokenize(apart, F.col("lang")).alias("result"))
 
 
 @_query()
@@ -254,14 +260,14 @@ def match_spaces_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the spaces around its marks restored after they were removed."""
     tight = F.regexp_replace("text", r" ?([,.?!:;]) ?", "$1")
     ship(spark)
-    return _table(spark, sf_dir, "documents").select("doc_id", spacing.align(F.col("text"), tight).alias("result"))
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", spacing.align(F.col("text"), tight).alias("result"))
 
 
 @_query()
 def batch_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch protocol's reply to each document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", protocol.request(F.coalesce("text", F.lit("")), F.col("lang")).alias("line"))
-    return protocol.replies(docs).select("doc_id", "reply")
+    return protocol.replies(_spread(docs)).select("doc_id", "reply")
 
 
 _TAGGED = """'tokens { date { month: "' || o_orderpriority || '" day: "' || o_orderkey || '" } } tokens { name: "' || o_orderstatus || '" } '"""
