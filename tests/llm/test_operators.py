@@ -14,8 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from verbaspark.llm import bpe, components, crf, jpeg, op1_jpeg, op2_chunks, op3_preference, op4_bpe, op5_divergence, op6_hilbert, op7_ring, op8_secrets, op9_simhash, op10_rans
-from verbaspark.llm.encoding import encode_texts
+from verbaspark.llm import bpe, components, crf, encoding, jpeg, op1_jpeg, op2_chunks, op3_preference, op4_bpe, op5_divergence, op6_hilbert, op7_ring, op8_secrets, op9_simhash, op10_rans
 from verbaspark.llm.minimal_hash import MinimalPerfectHash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, row string"
@@ -61,24 +60,23 @@ def test_minimal_perfect_hash():
     assert (MinimalPerfectHash(keys[:0]).find(keys[:3]) == -1).all()
 
 
-def test_bpe_heap_equals_steps():
-    model = bpe.pair_bpe(P.path("byte_bpe_50k.json"))
-    for word in ("hello", "thththth", "unbelievableness", "%%%%%%%%%%"):
-        raw = np.frombuffer(word.encode(), np.uint8)
-        assert model.encode(raw, np.array([0, len(raw)]))[0].tolist() == model.encode_one(word.encode())
-
-
 @pytest.mark.parametrize(("name", "words"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_encoding_equals_library(name, words):
+def test_encoding_equals_library(name, words, monkeypatch):
     import pyarrow as pa
 
-    texts = [t or "" for t in TEXTS]
+    monkeypatch.setattr(encoding, "MEMO", 50)  # its generations change many times
+    encoding.library_ids.cache_clear()
+    r = random.Random(9)
+    signs = ["'s", "'", " ", "  ", "\n", "\u00a0", "\u3000", "5", "½", "़", "́", "J̌", "İ", "K", "Å", "각", "a", "Zz", "ſ", "ﬁ", "🙂", "‍", "\x00", "\x1c", "\u0085"]
+    texts = [t or "" for t in TEXTS] + ["".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(400)]
     library = Tokenizer.from_file(P.path(name))
     library.encode_special_tokens = True
-    ids, counts = encode_texts(P.path(name), pa.array(texts), words)
-    ends = np.cumsum(counts)
-    for e, n, want in zip(ends, counts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert ids[e - n : e].tolist() == want.ids
+    for _ in range(2):
+        ids, counts = encoding.encode_texts(P.path(name), pa.array(texts), words)
+        ends = np.cumsum(counts)
+        for e, n, want in zip(ends, counts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids[e - n : e].tolist() == want.ids
+    encoding.library_ids.cache_clear()
 
 
 def test_op1(docs, empty):

@@ -1,127 +1,9 @@
-"""Byte-pair encoding of many distinct pre-tokens in step, and of one by a heap over linked symbols."""
+"""Byte-pair encoding by a heap over linked symbols, and the rank files."""
 
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
-import json
-
-import numpy as np
-
-from verbaspark.llm.minimal_hash import MinimalPerfectHash
-
-#: Longer pre-tokens go through the heap, whose cost does not grow with the square of the length.
-STEP_LIMIT = 48
-_NONE = np.int64(2**62)
-
-
-def byte_letters() -> list[str]:
-    """The printable letter by which vocabulary files write each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, spare = [], 256
-    for b in range(256):
-        if b in shown:
-            out.append(chr(b))
-        else:
-            out.append(chr(spare))
-            spare += 1
-    return out
-
-
-class PairBPE:
-    """Merges by a ranked list of pairs, as vocabulary files of the tokenizers library hold it."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab = model["vocab"]
-        suffix = model.get("end_of_word_suffix") or ""
-        letters = byte_letters()
-        self.inner = np.array([vocab[x] for x in letters], np.int32)
-        self.last = np.array([vocab[x + suffix] for x in letters], np.int32)
-        left, right, made = [], [], []
-        for pair in model["merges"]:
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            left.append(vocab[a])
-            right.append(vocab[b])
-            made.append(vocab[a + b])
-        keys = np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64)
-        keys, place = np.unique(keys, return_index=True)  # of equal pairs the first counts
-        self.merge = np.append(place << 32 | np.array(made, np.int64)[place], _NONE)  # rank, then the id made; the last for no merge
-        self.table = MinimalPerfectHash(keys)
-        self.size = max(vocab.values()) + 1
-        self._pairs: dict | None = None
-
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.merge[self.table.find((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)).ravel())].reshape(a.shape)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pre-tokens ``data[offsets[i]:offsets[i+1]]``: all ids in a row, and how many each has."""
-        lengths = np.diff(offsets)
-        counts = np.zeros(len(lengths), np.int64)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in np.unique(lengths).tolist():
-            rows = np.flatnonzero(lengths == size)
-            if not size:
-                continue
-            if size > STEP_LIMIT:
-                for r in rows.tolist():
-                    ids = np.array(self.encode_one(data[offsets[r] : offsets[r + 1]].tobytes()), np.int32)
-                    counts[r] = len(ids)
-                    done.append((np.array([r]), ids[None, :]))
-                continue
-            raw = data[offsets[rows][:, None] + np.arange(size)]
-            ids = self.inner[raw]
-            ids[:, -1] = self.last[raw[:, -1]]
-            self._in_step(rows, ids, counts, done)
-        starts = np.cumsum(counts) - counts
-        flat = np.empty(int(counts.sum()), np.int32)
-        for rows, ids in done:
-            flat[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
-        return flat, counts
-
-    def _in_step(self, rows: np.ndarray, ids: np.ndarray, counts: np.ndarray, done: list) -> None:
-        """One merge of every row in each turn, the lowest rank and of equals the leftmost, until none is left."""
-        if ids.shape[1] > 1:
-            rank = self._rank(ids[:, :-1], ids[:, 1:])
-        while ids.shape[1] > 1 and len(rows):
-            each = np.arange(len(rows))
-            best = rank.argmin(1)
-            least = rank[each, best]
-            live = least != _NONE
-            if not live.all():
-                over = ~live
-                done.append((rows[over], ids[over]))
-                counts[rows[over]] = ids.shape[1]
-                rows, ids, rank, best, least = rows[live], ids[live], rank[live], best[live], least[live]
-                if not len(rows):
-                    return
-                each = each[: len(rows)]
-            ids[each, best] = least.astype(np.int32)
-            n, width = ids.shape
-            keep = np.ones(ids.shape, bool)
-            keep[each, best + 1] = False
-            ids = ids[keep].reshape(n, width - 1)
-            if width == 2:
-                break
-            rank = rank[keep[:, 1:]].reshape(n, width - 2)
-            for side in (best - 1, best):
-                ok = np.flatnonzero((side >= 0) & (side < width - 2))
-                at = side[ok]
-                rank[ok, at] = self._rank(ids[ok, at], ids[ok, at + 1])
-        if len(rows):
-            done.append((rows, ids))
-            counts[rows] = ids.shape[1]
-
-    def encode_one(self, token: bytes) -> list[int]:
-        if self._pairs is None:
-            self._pairs = {}
-            for k, i in zip(self.table.key.tolist(), self.table.index.tolist(), strict=True):
-                m = int(self.merge[i])
-                self._pairs[k >> 32, k & 0xFFFFFFFF] = (m >> 32, m & 0xFFFFFFFF)
-        ids = [int(self.inner[b]) for b in token[:-1]] + [int(self.last[b]) for b in token[-1:]]
-        return merge_by_heap(ids, lambda a, b: self._pairs.get((a, b)))
 
 
 def merge_by_heap(ids: list[int], pair) -> list[int]:
@@ -150,11 +32,6 @@ def merge_by_heap(ids: list[int], pair) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-@functools.lru_cache(4)
-def pair_bpe(path: str) -> PairBPE:
-    return PairBPE(path)
-
-
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file, in order of rank."""
     ranks = {}

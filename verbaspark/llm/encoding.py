@@ -1,14 +1,71 @@
-"""Ids of a whole batch of texts at once, and how a batch's texts lie in memory."""
+"""Ids of a whole batch of texts by the tokenizers library, and how a batch's texts lie in memory."""
 
 from __future__ import annotations
 
+import functools
+import os
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 from verbaspark.llm import pretokens
-from verbaspark.llm.bpe import pair_bpe
+
+#: Pre-tokens that each of the memo's two generations holds at most, and the longest in bytes that it holds.
+MEMO, MEMO_BYTES = 1 << 18, 64
+
+
+class LibraryIds:
+    """Ids of distinct pre-tokens by the tokenizers library; those seen lately are looked up.
+
+    The memo has two generations: when the younger is full, the older goes. It changes no result.
+    """
+
+    def __init__(self, path: str, normalized: bool):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        if normalized:  # the whole texts already are; a part alone may order its marks anew
+            self.library.normalizer = None
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _remember(self, token: bytes, ids: bytes) -> None:
+        if len(token) <= MEMO_BYTES:
+            if len(self.young) >= MEMO:
+                self.old, self.young = self.young, {}
+            self.young[token] = ids
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens ``data[offsets[i]:offsets[i+1]]``: all ids in a row, and how many each has."""
+        raw, at = data.tobytes(), offsets.tolist()
+        tokens = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        out: list[bytes] = [b""] * len(tokens)
+        fresh = []
+        for i, token in enumerate(tokens):
+            ids = self.young.get(token)
+            if ids is None:
+                ids = self.old.get(token)
+                if ids is None:
+                    fresh.append(i)
+                    continue
+                self._remember(token, ids)
+            out[i] = ids
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
+            encoded = self.library.encode_batch_fast([tokens[i].decode() for i in part], add_special_tokens=False)
+            for i, e in zip(part, encoded, strict=True):
+                out[i] = array("i", e.ids).tobytes()
+                self._remember(tokens[i], out[i])
+        return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+
+@functools.lru_cache(2)
+def library_ids(path: str, normalized: bool = False) -> LibraryIds:
+    return LibraryIds(path, normalized)
 
 
 def flat_text(column: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -41,7 +98,7 @@ def encode_texts(path: str, column: pa.Array, words: bool = False) -> tuple[np.n
     if len(offsets) < 2:
         return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
     flat, at, place = pretokens.distinct(data, offsets)
-    ids, counts = pair_bpe(path).encode(flat, at)
+    ids, counts = library_ids(path, words).encode(flat, at)
     starts = np.cumsum(counts) - counts
     if words:
         counts[place[white]] = 0
