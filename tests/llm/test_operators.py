@@ -67,7 +67,7 @@ def test_encoding_equals_library(name, words, monkeypatch):
     monkeypatch.setattr(encoding, "MEMO", 50)  # its generations change many times
     encoding.library_ids.cache_clear()
     r = random.Random(9)
-    signs = ["'s", "'", " ", "  ", "\n", "\u00a0", "\u3000", "5", "½", "़", "́", "J̌", "İ", "K", "Å", "각", "a", "Zz", "ſ", "ﬁ", "🙂", "‍", "\x00", "\x1c", "\u0085"]
+    signs = ["'s", "'", " ", "  ", "\n", "\u00a0", "\u3000", "5", "½", "़", "́", "J̌", "İ", "K", "Å", "각", "a", "Zz", "ſ", "ﬁ", "🙂", "‍", "\x00", "\x1c", "\u0085", "\u0323", "\u1c89", "\u1df6", "\U000105c0", "\U00016d41"]
     texts = [t or "" for t in TEXTS] + ["".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(400)]
     library = Tokenizer.from_file(P.path(name))
     library.encode_special_tokens = True

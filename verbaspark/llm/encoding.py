@@ -9,6 +9,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from verbaspark.llm import pretokens
 
@@ -63,7 +64,7 @@ class LibraryIds:
         return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(3)
 def library_ids(path: str, normalized: bool = False) -> LibraryIds:
     return LibraryIds(path, normalized)
 
@@ -86,13 +87,35 @@ def lowered(texts: list[str]) -> list[str]:
     return out
 
 
+@functools.cache
+def disputed() -> np.ndarray:
+    """Code points that versions of Unicode hold for different: unassigned here, or with newer orders or decompositions."""
+    old, now = unicodedata.ucd_3_2_0, unicodedata
+    return np.array([now.category(c) == "Cn" or now.combining(c) != old.combining(c) or now.decomposition(c) != old.decomposition(c) for c in map(chr, range(0x110000))])
+
+
 def encode_texts(path: str, column: pa.Array, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids by the vocabulary file at ``path``: all ids in a row, and how many each text has.
 
     ``words``: the file lower-cases, drops white space and marks ends of words; else it is byte-level.
+    Texts with disputed code points go through the library as a whole.
     """
-    if words:
-        column = pa.array(lowered(column.fill_null("").to_pylist()), pa.large_string())
+    column = column.fill_null("")
+    texts, data = column.to_pylist(), flat_text(column)[0]
+    hits = [] if data.isascii() else np.flatnonzero(disputed()[pretokens.code_points(data)])
+    whole = np.unique(np.searchsorted(np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False)), hits, "right")).tolist() if len(hits) else []
+    encoded = library_ids(path).library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else []
+    for i in whole:
+        texts[i] = ""
+    ids, counts = _by_parts(path, pa.array(lowered(texts) if words else texts, pa.large_string()), words)
+    if whole:
+        sizes = [len(e.ids) for e in encoded]
+        ids = np.insert(ids, np.repeat(np.cumsum(counts)[whole], sizes), np.concatenate([np.array(e.ids, np.int32) for e in encoded]))
+        counts[whole] = sizes
+    return ids, counts
+
+
+def _by_parts(path: str, column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
     data, sizes = flat_text(column)
     offsets, tokens, white = pretokens.split(data, sizes, words)
     if len(offsets) < 2:
