@@ -10,18 +10,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbaspark.llm.near_copies import first_rows
 from verbaspark.llm.op2_chunks import MORE, dedup
 from verbaspark.llm.op5_divergence import quality
 from verbaspark.llm.op6_hilbert import pack
 from verbaspark.llm.op8_secrets import redact
-from verbaspark.llm.op9_simhash import near_duplicates
-from verbaspark.runtime import shared_dir
+from verbaspark.runtime import materialize, shared_dir
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row, by which verdicts come back: doc_id may be null or repeat."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     kept = quality(docs).where("kept").select("doc_id")
@@ -29,9 +34,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    """Of each group of near-duplicates (5-word similarity of 0.8 or more) the row with the smallest doc_id stays,
+    nulls last; of equal rows one."""
+    rows = _numbered(docs)
+    first = first_rows(rows.select(F.col("_row").alias("row"), "doc_id", "text")).withColumnRenamed("row", "_row")
+    return rows.join(first.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -399,3 +399,36 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert out.agg(F.max("sequence_id")).first()[0] >= 0
+
+
+@pytest.mark.parametrize(("turns", "block"), [(3, 1024), (0, 3)])
+def test_pipeline_near_copies(spark, monkeypatch, turns, block):
+    """Every pair with a 5-word similarity of 0.8 or more is found, and no other."""
+    import corpus_pipeline
+    from verbaspark.llm import near_copies
+    from verbaspark.llm.near_copies import shingles
+
+    monkeypatch.setattr(near_copies, "TURNS", turns)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+
+    r, texts = random.Random(21), []
+    for k in range(25):
+        words = prose(5000 + k, 400).split()
+        texts.append(" ".join(words))
+        for changes in (1, 4, 8, 12):
+            new = list(words)
+            for at in r.sample(range(400), changes):
+                new[at] = f"other{changes}"
+            texts.append(" ".join(new))
+    sets = [shingles(t.encode()) for t in texts]
+    parent, wide = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if s >= 0.8:
+                wide += s < 0.95
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert wide > 50 and kept == {i for i, p in enumerate(parent) if p == i}
