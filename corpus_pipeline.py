@@ -28,9 +28,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    kept = quality(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    """Rows that the rules reject go; each row is judged by itself, whatever its doc_id."""
+    rows = _numbered(docs)
+    kept = quality(rows.withColumn("doc_id", F.col("_row"))).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -432,3 +432,15 @@ def test_pipeline_near_copies(spark, monkeypatch, turns, block):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     kept = {x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
     assert wide > 50 and kept == {i for i, p in enumerate(parent) if p == i}
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    """A verdict holds for its row alone, and one row of each group stays."""
+    import corpus_pipeline
+
+    rows = [(None, prose(1, 200), "en"), (None, prose(2, 200), "en"), (None, prose(2, 200), "en"), (7, prose(3, 200), "en"), (7, "%%% !!", "en"), (8, prose(4, 200), "en"), (8, prose(4, 200), "en"), (9, prose(1, 200), "en")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    judged = corpus_pipeline.quality_rules(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in judged.collect()) == Counter(r[:2] for r in rows if r[1] != "%%% !!")
+    kept = corpus_pipeline.simhash_near_dedup(spark, judged, "")
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(9, prose(1, 200)), (None, prose(2, 200)), (7, prose(3, 200)), (8, prose(4, 200))])
