@@ -190,6 +190,23 @@ def test_op2(docs, empty, spark):
         assert out[i].text.startswith(t[:150]) and out[i].text.endswith(t[-150:])
 
 
+def test_op2_unspaced(spark):
+    """A passage without white space is found again wherever it is shifted to; prose around it stays."""
+    r = random.Random(31)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    b64 = lambda n: "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))
+    for make, n in ((han, 3000), (b64, 20_000)):
+        shared = make(n)
+        rows = [(i, make(i) + shared + make(500)) for i in (0, 1, 2, 501)] + [(600, make(7) + " " + shared)]
+        out = by_id(op2_chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+        assert out[0].text == rows[0][1]
+        for i, t in rows[1:]:
+            gone = len(t) - len(out[i].text)
+            assert 0.93 * n <= gone <= n and t.startswith(out[i].text[: min(i, 7)]), i
+    ends = op2_chunks.chunk_ends(b"x" * 5000, np.array([5000]))[0]
+    assert ends[-1] == 5000 and max(np.diff([0, *ends])) <= op2_chunks.MAX_CHUNK
+
+
 def test_op3(spark):
     turns = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "A"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "B"),

@@ -2,7 +2,10 @@
 
 A gear hash rolls over the last 16 bytes. A chunk ends at a word's start whose hash is the least among the three
 words before and after, so a boundary depends on seven words of content only: after an insertion the next boundary is
-where it was before, and chunks have about seven words. Chunks are known by digest. A chunk is a
+where it was before, and chunks have about seven words. Inside a stretch of more than ``LONG`` bytes without white space (unspaced
+scripts, minified code, base64) a chunk also ends at a code point's start whose hash is the least within ``REACH``
+bytes before and after. Only where neither gives an end for ``MAX_CHUNK`` bytes, as in one letter repeated, is the cut
+counted from the last end. Chunks are known by digest. A chunk is a
 duplicate where a document with a smaller doc_id, or an earlier place in the same one, has it. Duplicates that
 follow one another for at least ``MIN_RUN`` bytes are a repeated passage and are cut out; shorter ones stay, so chance
 agreements (and digests that collide) change nothing. Every chunk stays in the first document that has it.
@@ -32,6 +35,8 @@ WINDOW = 16
 #: A boundary's hash is the least among so many words before it and after it.
 AROUND = 3
 MAX_CHUNK, MIN_RUN = 1024, 100
+#: In stretches of more than LONG bytes without white space, an end's hash is the least among REACH bytes either way.
+LONG, REACH = 128, 32
 _GEAR = np.array([xxh64_intdigest(bytes([b])) & 0xFFFF for b in range(256)] + [0], np.uint16)
 
 
@@ -50,6 +55,26 @@ def gear_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return h[where]
 
 
+def unspaced_ends(raw: np.ndarray, h: np.ndarray, white: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ends inside long stretches without white space."""
+    begins = np.append(False, white)
+    begins[starts] = True
+    first = np.flatnonzero(begins[:-1])
+    stop = np.append(first[1:], len(raw))
+    long = stop - first > LONG + 1
+    if not long.any():
+        return np.zeros(0, np.int64)
+    # A stretch's first byte is left out, so places k apart in this array are k bytes apart only within one stretch.
+    at = np.concatenate([np.arange(a + 1, b) for a, b in zip(first[long].tolist(), stop[long].tolist(), strict=True)])
+    may = ~white[at] & ((raw[at] & 0xC0) != 0x80)
+    hashed, least = np.where(may, h[at - 1].astype(np.int32), 1 << 16), may.copy()
+    for k in range(1, REACH + 1):
+        apart = at[k:] - at[:-k] != k
+        least[k:] &= apart | (hashed[k:] < hashed[:-k])
+        least[:-k] &= apart | (hashed[:-k] <= hashed[k:])
+    return at[least]
+
+
 def chunk_ends(data: bytes, sizes: np.ndarray) -> list[list[int]]:
     """For each text, the ends of its chunks as byte offsets in ``data``."""
     raw = np.frombuffer(data, np.uint8)
@@ -68,7 +93,9 @@ def chunk_ends(data: bytes, sizes: np.ndarray) -> list[list[int]]:
         apart = text[k:] != text[:-k]
         least[k:] &= apart | (hashed[k:] < hashed[:-k])
         least[:-k] &= apart | (hashed[:-k] <= hashed[k:])
-    at = at[least]
+    at, more = at[least], unspaced_ends(raw, h, white, starts)
+    if len(more):
+        at = np.sort(np.concatenate([at, more]))
     cut, stop = np.searchsorted(at, starts, "right").tolist(), np.searchsorted(at, ends, "left").tolist()
     at = at.tolist()
     out = []
