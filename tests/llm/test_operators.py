@@ -300,6 +300,21 @@ def test_op8(docs, empty):
     assert op8_secrets.base_spans("TOKEN: abcdefgh", 8) == [(0, 15, 0)] and op8_secrets.base_spans("token=short AKIA1234", 11) == []
 
 
+def test_op8_several_values(spark):
+    """Each value of a word is judged by its own name, wherever in the word it stands."""
+    secret, other = "Zx9kQ2mP7vL4", "ghp_a8Kd03LmQz71RtYw55XcVb92"
+    pad = ",".join(f'"field{i}":"plain"' for i in range(60))
+    rows = [
+        (1, '{"user":"alice12345","pwd":"%s"}' % secret), (2, '{"pwd":"%s","user":"alice12345","credential":"%s"}' % (secret, other)),
+        (3, "https://example.com/a/long/path/to/some/page/that/goes/on/and/on?user=alice12345&pwd=%s&page=2" % secret),
+        (4, '{%s,"pwd":"%s","last":"plain"}' % (pad, secret)), (5, "user=alice12345;pwd=%s;mode=plain" % secret), (6, '{"user":"alice12345","page":"plain"}'),
+    ]
+    clean = by_id(op8_secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(secret not in clean[i].text and other not in clean[i].text for i, _ in rows)
+    assert clean[1].text == '{"user":"alice12345","pwd":"[SECRET]"}' and "alice12345" in clean[2].text and clean[6].text == rows[5][1]
+    assert crf.own_features("x" * 70 + "_pwd=" + secret) == crf.own_features("x" * 7 + "_pwd=" + secret)
+
+
 def test_crf_held_out():
     model, right, said, true = crf.trained(), 0, 0, 0
     for words, tags in crf.generated(99, 300):

@@ -52,7 +52,7 @@ def plain_word(token: str) -> tuple[int, int, bool, bool] | None:
     if not core.isalpha():
         return None
     case = 0 if core.islower() else 2 if core.isupper() else 1 if core[1:].islower() else 3
-    return min(len(core), 64), case, token[0] in "\"'", bool(_KEYWORD.search(core[:60]))
+    return min(len(core), 64), case, token[0] in "\"'", bool(_KEYWORD.search(core))
 
 
 def own_features(token: str) -> tuple[int, ...]:
@@ -60,7 +60,7 @@ def own_features(token: str) -> tuple[int, ...]:
     if (plain := plain_word(token)) is not None:
         return _letters(*plain)
     core = token.strip(EDGES)
-    value = re.split(r"[=:]", core)[-1].strip(EDGES) if len(core) < 400 else core
+    value = re.split(r"[=:]", core)[-1].strip(EDGES)
     n = len(value)
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0
@@ -75,7 +75,7 @@ def own_features(token: str) -> tuple[int, ...]:
         min(turns // 2, _WIDTH - 1),
         bool(_PREFIX.match(value)) + 2 * ("-----" in token),
         ("=" in core) + 2 * (":" in core) + 4 * (token[:1] in "\"'"),
-        bool(_KEYWORD.search(core[:60])) + 2 * (core != value),
+        bool(_KEYWORD.search(core)) + 2 * (core != value),
         shape if n >= 16 else _WIDTH - 1,
     ]
     return tuple(k * _WIDTH + int(x) for k, x in enumerate(slots))
@@ -88,14 +88,14 @@ def context(word: str) -> int:
     if "-----" in word or word in ("BEGIN", "PRIVATE", "RSA"):
         return 5
     ends = word[-1] in ":="
-    if not ends and word.isalpha() and not _MATTERS.search(word[:60]):
+    if not ends and word.isalpha() and not _MATTERS.search(word):
         return 0
-    key = _KEYWORD.search(word[:60])
+    key = _KEYWORD.search(word)
     if key:
         return 4 if ends else 3
     if ends:
         return 2
-    if _NAMING.search(word[:40]):
+    if _NAMING.search(word):
         return 10
     if any(map(str.isdigit, word)):
         return 6 if word.strip(EDGES).isdigit() else 8

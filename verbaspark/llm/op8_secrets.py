@@ -32,6 +32,8 @@ _ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret"
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _VALUE = re.compile(r"[:=][\"'`]*([^\"'`\s]{6,})")
+#: Marks within a word after which a new name, or a quoted value, begins.
+_SPLIT = re.compile(r"""[,;&?{\[|\0](?=\\?["'`]|[A-Za-z_][\w.\-]*\\?["'`]?[:=])""")
 #: Words whose scores a worker remembers; beyond, it starts anew.
 REMEMBERED = 200_000
 
@@ -48,6 +50,20 @@ def base_spans(text: str, longest: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def pieces(text: str, cuts: list[int]) -> list[tuple[int, int]]:
+    """Start and end of each word, where those with ``cuts`` inside fall into pieces."""
+    out, k = [], 0
+    for m in re.finditer(r"\S+", text):
+        start, end = m.span()
+        while k < len(cuts) and cuts[k] < end:
+            if cuts[k] > start:
+                out.append((start, cuts[k]))
+                start = cuts[k]
+            k += 1
+        out.append((start, end))
+    return out
+
+
 class Tagger:
     """Scores for whole texts from what is remembered of each word: its own score and its kind as a neighbour."""
 
@@ -87,11 +103,16 @@ class Tagger:
         return self.score[at] + self.before[kind[1 : n + 1]] + self.before2[kind[:n]] + self.after[kind[3 : n + 3]] + self.file[file]
 
     def spans(self, text: str, words: list[str]) -> list[tuple[int, int]]:
-        """Start and end of what the field tags, without the marks around it or the name before it."""
+        """Start and end of what the field tags, without the marks around it or the name before it. Words that hold
+        several names and values are tagged piece by piece."""
+        where = None
+        if cuts := [m.end() for m in _SPLIT.finditer(text)]:
+            where = pieces(text, cuts)
+            words = [text[a:b] for a, b in where]
         found = self.model.spans(self.scores(words, crf.file_kind(text))) if words else []
         if not found:
             return []
-        where = [m.span() for m in re.finditer(r"\S+", text)]
+        where = where or [m.span() for m in re.finditer(r"\S+", text)]
         out = []
         for a, b in found:
             start, end = where[a][0], where[b][1]
