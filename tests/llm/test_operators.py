@@ -1,6 +1,7 @@
 """The ten operators on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -358,23 +359,27 @@ def test_op9(docs, empty):
     assert op9_simhash.near_duplicates(empty).count() == 0
 
 
-def test_op9_shards(spark, monkeypatch):
-    """Clusters that overflow their shards: the splits by DataFrame steps lose no link."""
-    monkeypatch.setattr(op9_simhash, "HOMES", 60)
-    monkeypatch.setattr(op9_simhash, "LEAF", 8)
-    r = random.Random(8)
-    fps = set()
-    for _ in range(3):
+def _clusters(seed, centres, each, spread):
+    r, fps = random.Random(seed), set()
+    for _ in range(centres):
         centre = r.getrandbits(64)
-        for _ in range(150):
+        for _ in range(each):
             x = centre
-            for b in r.sample(range(64), r.randint(0, 9)):
+            for b in r.sample(range(64), r.randint(0, spread)):
                 x ^= 1 << b
             fps.add(x)
-    fps = sorted(fps)
+    return sorted(fps)
+
+
+@pytest.mark.parametrize(("shard", "least", "block", "size"), [(8192, 32, 1 << 16, (3, 150, 9)), (60, 8, 1 << 16, (30, 30, 9)), (60, 8, 25, (2, 300, 7)), (100, 8, 1 << 16, (800, 2, 5))])
+def test_op9_shards(spark, monkeypatch, shard, least, block, size):
+    """Shards, copies at their boundaries and blocks of dense shards lose no link and add none."""
+    for name, value in (("SHARD", shard), ("LEAST", least), ("BLOCK", block), ("SAMPLE", 40), ("LEAF", 16)):
+        monkeypatch.setattr(op9_simhash, name, value)
+    fps = _clusters(8, *size)
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
     edges = op9_simhash.links(nodes)
-    assert edges.count() < 6 * len(fps)
+    assert edges.count() < (12 if block > 25 else 40) * len(fps)  # a forest from each cell
     root = {r.u: r.v for r in components.components(edges).collect()}
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
     mine, theirs = defaultdict(set), defaultdict(set)
@@ -384,6 +389,39 @@ def test_op9_shards(spark, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_op9_layout():
+    """Every fingerprint has one home, and any two within the radius meet in the home of one of them, in some tree."""
+    fps = np.array(_clusters(5, 200, 20, 8), np.uint64)
+    home, seen = defaultdict(dict), defaultdict(lambda: defaultdict(set))
+    for k, bits in enumerate(op9_simhash.QUARTERS):
+        tree, n = op9_simhash.lay_out(fps[::7], bits, 32, 0)
+        assert n > 8
+        for shard, mine, own in op9_simhash.descend(tree, fps):
+            for x, h in zip(mine.tolist(), own.tolist(), strict=True):
+                seen[k][x].add(shard)
+                if h:
+                    assert home[k].setdefault(x, shard) == shard
+        assert len(home[k]) == len(fps) and sum(map(len, seen[k].values())) < n * len(fps)
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= 4, 1))
+    assert len(near) > 500
+    for i, j in near.tolist():
+        assert any(home[k][int(fps[i])] in seen[k][int(fps[j])] for k in range(4))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_op9_trees_prune(spark):
+    """Over the table of 10,000 documents the trees as they are split hundreds of nodes and leave a third of the pairs."""
+    rows = op9_simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct().collect()
+    fps = np.array(sorted(r.fp for r in rows), np.int64).view(np.uint64)
+    at, links, total = np.arange(len(fps)), op9_simhash.Links(len(fps)), Counter()
+    for bits in op9_simhash.QUARTERS:
+        total.update(op9_simhash.search(fps, at, at, links, bits))
+    assert total["splits"] > 400 and total["pruned"] > 100_000 and total["pairs"] < 0.33 * len(fps) ** 2
+    assert links.find(at).tolist() == brute_components(fps.tolist())
+    tree, n = op9_simhash.lay_out(fps[::16], op9_simhash.QUARTERS[0], 32, 0)
+    assert n > 8 and not isinstance(tree, int)
+
+
 def test_op10(docs, empty):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
