@@ -1,8 +1,9 @@
 """A linear-chain conditional random field that tags tokens as begin, inside or outside of a secret.
 
-It is trained here, by maximum likelihood on lines that a seeded generator writes: prose, numbers, links and
+It is trained here, by maximum likelihood on lines that a seeded generator writes: prose, code, numbers, links and
 mail addresses outside, keys, passwords and key blocks as secrets. A token's score is a sum over its own
-shape, the kinds of its two neighbours before and one after, and features of the whole file.
+shape, the kinds of its two neighbours before and one after, and features of the whole file: does it assign, hold a
+key block, hold braces as code does, run over several lines.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _SHAPES = [
 _SLOTS = 9
 _WIDTH = 16
 #: Kinds of neighbours, and of files.
-CONTEXTS, FILES = 12, 4
+CONTEXTS, FILES = 12, 16
 _OWN = _SLOTS * _WIDTH
 N_FEATURES = _OWN + 3 * CONTEXTS + FILES
 EDGES = "\"'`.,;()[]{}<>"
@@ -88,6 +89,8 @@ def context(word: str) -> int:
     if "-----" in word or word in ("BEGIN", "PRIVATE", "RSA"):
         return 5
     ends = word[-1] in ":="
+    if ends and "://" in word:
+        return 4
     if not ends and word.isalpha() and not _MATTERS.search(word):
         return 0
     key = _KEYWORD.search(word)
@@ -106,7 +109,7 @@ NO_WORD = 11
 
 
 def file_kind(text: str) -> int:
-    return ("=" in text) + 2 * ("-----BEGIN" in text)
+    return ("=" in text) + 2 * ("-----BEGIN" in text) + 4 * ("{" in text) + 8 * ("\n" in text)
 
 
 def features(words: list[str], file: int) -> np.ndarray:
@@ -133,18 +136,20 @@ def generated(seed: int, lines: int) -> list[tuple[list[str], list[int]]]:
         return w + r.choice(["", "", "", "", ".", ",", "!!", "%%%", ";"])
 
     def plain() -> list[str]:
-        kind = r.randint(0, 13)
+        kind = r.randint(0, 15)
         n = r.randint(1, 5)
         if kind == 0:
-            return [f"+1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}"][0].split()
+            blocks = [chars("0123456789", r.randint(2, 5)) for _ in range(r.randint(2, 4))]
+            return (r.choice(["", "+", "(", "00"]) + r.choice([" ", "-", ".", ") ", "/"]).join(blocks)).split()
         if kind == 1:
             return [chars("0123456789", r.choice([4, 8, 12, 16, 16]))]
         if kind == 2:
-            return [f"{word().strip('.,')}.{n}@mail{n}.example.com"]
+            return [r.choice([".", "_", "+", ""]).join(chars("abcdefghijklmnopqrstuvwxyz", r.randint(2, 8)) for _ in range(n)) + r.choice(["", str(n)]) + f"@{chars('abcdefghijklmnopqrstuvwxyz', r.randint(3, 9))}{r.choice(['', str(n), '.mail'])}.{r.choice(['com', 'org', 'net', 'de', 'io'])}"]
         if kind == 3:
             return [".".join(str(r.randint(0, 255)) for _ in range(4))]
         if kind == 4:
-            return [f"https://www.{chars('abcdefgh', 6)}.com/{chars('abcdefgh', 5)}?q={chars('abc', 3)}"]
+            steps = "/".join(r.choice([chars("abcdefghijklmnopqrstuvwxyz-", r.randint(2, 9)), chars("0123456789", r.randint(1, 4)), "v1", "api"]) for _ in range(r.randint(0, 5)))
+            return [r.choice(["https://", "http://", "ftp://", "www.", "/"]) + f"{chars('abcdefghijklmnop', r.randint(3, 9))}.{r.choice(['com', 'org', 'net', 'io'])}/{steps}{r.choice(['', '', '?q=' + chars('abc', 3), '?page=' + str(n) + '&ref=' + chars('abcdef', 4)])}"]
         if kind == 5:
             return [r.choice(["commit", "hash", "order", "version", "id"]), chars("0123456789abcdef", r.choice([7, 8, 12]))]
         if kind == 6:
@@ -157,11 +162,16 @@ def generated(seed: int, lines: int) -> list[tuple[list[str], list[int]]]:
             return [r.choice(["the", "a", "this"]), r.choice(["token", "password", "secret", "key"]), r.choice(["is", "was", "of", "for"]), word()]
         if kind == 10:
             return ["".join(r.choice(syllables) for _ in range(r.randint(6, 20)))]
+        if kind == 11:
+            name, other = chars("abcdefghijk_", r.randint(1, 8)), "".join(r.choice(syllables) for _ in range(3))
+            return r.choice([f"for {name} in {other}({n}): {name} += 1", f"{name}({other}, {n});", f"def {other}(self, {name}={n}):", f"if ({name} == '{other}') {{ return {n}; }}", f"SELECT {name} FROM {other} WHERE {name} > '{n}'", f'<div class="{name} {other}-{n}">']).split()
+        if kind == 12:
+            return [r.choice([chars("ABCDEFGHKL", 1) + "-" + chars("0123456789", 3), chars("0123456789abcdef", 8) + "-" + "-".join(chars("0123456789abcdef", 4) for _ in range(3)) + "-" + chars("0123456789abcdef", 12), ":".join(chars("0123456789abcdef", 2) for _ in range(6)), f"v{n}.{r.randint(0, 30)}.{r.randint(0, 9)}", "#" + chars("0123456789abcdef", 6), f"{r.randint(1, 999)}.{r.randint(10, 99)}", f"{n}px", f"{n}KB"])]
         return [word() for _ in range(n)]
 
     def noisy(words: list[str]) -> list[str]:
         """Marks after each word, as in junk text."""
-        return [w + r.choice(["!!", "%%%", "###", "$$$", "***", "&&&"]) for w in words] if r.random() < 0.25 else words
+        return [w + r.choice("!%#$*&~^?|+") * r.randint(1, 4) for w in words] if r.random() < 0.25 else words
 
     def value() -> str:
         kind = r.randint(0, 5)
@@ -178,7 +188,7 @@ def generated(seed: int, lines: int) -> list[tuple[list[str], list[int]]]:
         return chars(alnum + "!@#$%^&*_-", r.randint(10, 20))
 
     def secret() -> tuple[list[str], list[int]]:
-        kind = r.randint(0, 5)
+        kind = r.randint(0, 7)
         v, q = value(), r.choice(["", '"', "'"])
         name = r.choice(["token", "password", "passwd", "secret", "api_key", "apikey", "AWS_SECRET_ACCESS_KEY", "client_secret", "access_key", "pwd", "private_key", "credential"])
         name = r.choice([name, name.upper()])
@@ -194,6 +204,10 @@ def generated(seed: int, lines: int) -> list[tuple[list[str], list[int]]]:
             lines = [chars(alnum + "+/", r.choice([48, 64])) for _ in range(r.randint(2, 6))]
             name = r.choice([["RSA", "PRIVATE"], ["PRIVATE"], ["OPENSSH", "PRIVATE"]])
             return ["-----BEGIN", *name, "KEY-----", *lines, "-----END", *name, "KEY-----"], [OUTSIDE] * (2 + len(name)) + [BEGIN] + [INSIDE] * (len(lines) - 1) + [OUTSIDE] * (2 + len(name))
+        if kind == 5:
+            return [r.choice(["curl", "login", "mysql", "db:"]), r.choice(["https", "postgres", "jdbc:mysql", "amqp"]) + "://" + chars("abcdefgh", 4) + ":", v, "@" + chars("abcdefgh", 5) + ".com:80/x"], [OUTSIDE, OUTSIDE, BEGIN, OUTSIDE]
+        if kind == 6:
+            return ["-H", q + r.choice(["X-Auth", "X-Key", "Authorization", "Auth"]) + ":", v + q, *r.choice([[], plain()])][:3], [OUTSIDE, OUTSIDE, BEGIN]
         return [value() if r.random() < 0.5 else r.choice(["ghp_", "sk-", "AKIA"]) + chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24)], [BEGIN]
 
     out = []
@@ -268,7 +282,7 @@ def train(data: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float
     tags = np.zeros((n, longest), np.int64)
     mask = np.zeros((n, longest), bool)
     for i, (words, t) in enumerate(data):
-        feats[i, : len(words)] = features(words, file_kind(" ".join(words)))
+        feats[i, : len(words)] = features(words, file_kind((" " if i % 2 else "\n").join(words)))
         tags[i, : len(words)], mask[i, : len(words)] = t, True
     size = N_FEATURES * 3 + 9 + 3
     theta, square = np.zeros(size), np.full(size, 1e-8)

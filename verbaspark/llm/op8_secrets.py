@@ -1,7 +1,11 @@
 """Secret scan: fixed patterns, and a conditional random field that adds what they miss.
 
-Rows: null text counts as empty and has no spans; rows that repeat get equal answers; an empty table gives
-an empty result; other columns are ignored.
+What the field tags loses the marks at its ends and whatever a fixed span covers; a rest without a letter or digit is
+dropped. So no span of the field overlaps a fixed one, and none repeats what that has found.
+
+Rows: null text counts as empty and has no spans; very long texts and words are read whole; fixed spans of different kinds may
+overlap, and come by start, then kind; rows that repeat get equal answers; a null doc_id stays null; an empty table gives an empty
+result; ``scan`` ignores other columns and ``redact`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,11 @@ _HEX = re.compile(r"[0-9a-f]+")
 _VALUE = re.compile(r"[:=][\"'`]*([^\"'`\s]{6,})")
 #: Marks within a word after which a new name, or a quoted value, begins.
 _SPLIT = re.compile(r"""[,;&?{\[|\0](?=\\?["'`]|[A-Za-z_][\w.\-]*\\?["'`]?[:=])""")
+#: The password in an address such as scheme://user:password@host.
+_USERINFO = re.compile(r"://[^\s/:@]*:([^\s/@][^\s@]*)@")
+#: Two or more of one mark, as junk around a word.
+_JUNK = r"([^\w\s=])\1+"
+_JUNK_BEFORE, _JUNK_AFTER = re.compile(_JUNK), re.compile(f"{_JUNK}$")
 #: Words whose scores a worker remembers; beyond, it starts anew.
 REMEMBERED = 200_000
 
@@ -106,7 +115,10 @@ class Tagger:
         """Start and end of what the field tags, without the marks around it or the name before it. Words that hold
         several names and values are tagged piece by piece."""
         where = None
-        if cuts := [m.end() for m in _SPLIT.finditer(text)]:
+        cuts = [m.end() for m in _SPLIT.finditer(text)]
+        if "://" in text and "@" in text:
+            cuts = sorted({*cuts, *(x for m in _USERINFO.finditer(text) for x in m.span(1))})
+        if cuts:
             where = pieces(text, cuts)
             words = [text[a:b] for a, b in where]
         found = self.model.spans(self.scores(words, crf.file_kind(text))) if words else []
@@ -116,22 +128,37 @@ class Tagger:
         out = []
         for a, b in found:
             start, end = where[a][0], where[b][1]
-            if a == b and (m := _VALUE.search(text, start, end)):
+            if a == b and "://" not in text[start:end] and (m := _VALUE.search(text, start, end)):
                 start, end = m.span(1)
-            while start < end and text[start] in crf.EDGES:
-                start += 1
-            while end > start and text[end - 1] in crf.EDGES:
-                end -= 1
-            if end > start:
-                out.append((start, end))
+            out.append((start, end))
         return out
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """A span without the marks at its ends; none where no letter or digit is left."""
+    core = text[start:end]
+    while True:
+        left = core.lstrip(crf.EDGES)
+        left = left[m.end() :] if (m := _JUNK_BEFORE.match(left)) else left
+        kept = left.rstrip(crf.EDGES)
+        kept = kept[: m.start()] if (m := _JUNK_AFTER.search(kept)) else kept
+        start += len(core) - len(left)
+        if len(kept) == len(core):
+            return (start, start + len(kept)) if any(map(str.isalnum, kept)) else None
+        core = kept
+
+
 def all_spans(text: str, tagger: Tagger) -> list[tuple[int, int, int]]:
-    """Fixed spans, and the field's where no fixed span covers them; by start, then kind."""
+    """Fixed spans, and what the field tags beside them; by start, then kind."""
     words = text.split()
     base = base_spans(text, max(map(len, words), default=0))
-    more = [(a, b, 3) for a, b in tagger.spans(text, words) if not any(x <= a and b <= y for x, y, _ in base)]
+    more = []
+    for a, b in tagger.spans(text, words):
+        at = a
+        for x, y, _ in [s for s in base if s[0] < b and s[1] > a] + [(b, b, 0)]:
+            if x > at and (rest := trimmed(text, at, x)):
+                more.append((*rest, 3))
+            at = max(at, y)
     return sorted(base + more, key=lambda s: (s[0], s[2]))
 
 
