@@ -1,9 +1,11 @@
 """The ten operators on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -217,10 +219,34 @@ def test_op3(spark):
     got = {r.pair_id: r for r in op3_preference.preferences(df).collect()}
     assert got[1].n_shared == 1 and got[1].prompt == "<|user|>\nhi<|end|>\n" and got[1].chosen == "<|assistant|>\nA<|end|>\n"
     assert got[1].rejected_mask == "14:0,9:1" and got[2].n_shared == 1 and got[2].chosen == "" and got[2].chosen_mask == ""
-    assert got[3].n_shared == 0 and got[3].rejected == "" and got[None].rejected.startswith("<|user|>")
+    assert got[3].n_shared == 0 and got[3].rejected == "" and set(got) == {1, 2, 3}
     assert op3_preference.preferences(df.limit(0)).count() == 0
 
 
+def test_op3_query_equals_sql(spark, tmp_path):
+    """Prefixes of no turn, some and all; nulls, repeated rows, clashing names and long texts; the query and its twin agree."""
+    import duckdb
+
+    r, rows = random.Random(4), []
+    for c in range(60):
+        for k in range(r.randint(1, 7)):
+            rows.append((c, k, "user" if k % 2 == 0 else "assistant", prose(c * 10 + k, r.randint(1, 9))))
+    rows += [(100, 0, "assistant", "first"), (101, 0, "assistant", "other"), (102, 0, "user", "q"), (102, 1, "assistant", "same"), (103, 0, "user", "q"), (103, 1, "assistant", "same")]
+    rows += [(104, 0, "user", "no answer"), (106, None, "user", "x"), (106, 1, None, None), (106, 2, "assistant", None), (107, None, "assistant", "y"), (108, 1, "assistant", "x" * 50_000), (109, 1, "assistant", "é" * 9)]
+    rows += [(None, 0, "user", "lost"), (None, 1, "assistant", "lost")] + [(110, 0, "user", "twice")] * 2 + [(110, 1, "assistant", "b"), (110, 1, "assistant", "a")]
+    df = spark.createDataFrame([(*x, "p", 1) for x in rows], "conv_id long, turn int, role string, text string, side string, pair_id int").repartition(3)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    mine, theirs = op3_preference.op3_preference_pairs(spark, str(tmp_path)).toPandas(), con.sql(op3_preference.SQL).df()
+    cols = sorted(mine.columns)
+    assert cols == sorted(theirs.columns) and sorted(map(tuple, mine[cols].astype(str).values)) == sorted(map(tuple, theirs[cols].astype(str).values))
+    got = mine.set_index("pair_id")
+    assert got.n_shared[100] == 0 and got.chosen[100] == "<|assistant|>\nfirst<|end|>\n" and "other" in got.rejected[100]
+    assert got.n_shared[102] == 2 and got.chosen[102] == "" and got.n_shared[104] == 1
+    assert len(set(got.n_shared[:60])) > 4 and (got.n_shared > 0).sum() > 40
+
+
 def test_op4(docs, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(path))}, special_tokens={})
@@ -250,6 +276,74 @@ def test_op5(docs, empty):
     assert d[0] == 0 and d[1] == pytest.approx(1) and 0 < d[2] < 1 and d[3] == 0
 
 
+def _brute_class(c):
+    kind = unicodedata.category(c)
+    if c in ".,":
+        return 4
+    if c in "#*$%&|<>":
+        return 6
+    if kind in ("Cn", "Co", "Cs"):
+        return 8
+    if c.isspace():
+        return 3
+    return {"Ll": 0, "Lu": 1, "Lt": 1, "Nd": 2}.get(kind, 7 if kind in ("Lo", "Lm", "Mn", "Mc") else 5 if kind[0] in "PS" else 8)
+
+
+def _brute_distance(p, q):
+    p, q = ([x / sum(v) for x in v] for v in (p, q))
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    kl = lambda v: sum(x * math.log2(x / z) for x, z in zip(v, m, strict=True) if x)
+    return math.sqrt(max(kl(p) / 2 + kl(q) / 2, 0))
+
+
+def test_op5_verdict(spark, monkeypatch):
+    """Distances and kept by the definition, over texts of several scripts, and the columns that clash."""
+    for name, value in (("MIN_REFERENCE", 300), ("MIN_WORDS", 40)):
+        monkeypatch.setattr(op5_divergence, name, value)
+    r = random.Random(12)
+    common = op5_divergence.COMMON["en"].split()
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rows = [(i, " ".join(r.choice(common) if r.random() < 0.4 else r.choice(WORDS) for _ in range(r.randint(15, 120))), "en") for i in range(40)]
+    rows += [(50 + i, " ".join(han(r.randint(1, 4)) for _ in range(150)), "zh") for i in range(6)] + [(60 + i, " ".join("привет как дела".split()[r.randrange(3)] + str(k) for k in range(60)), None) for i in range(8)]
+    rows += [(70, " ".join(f"{k}%%|||" for k in range(90)), "en"), (71, " ".join("THE" if k % 2 else f"X{k}." for k in range(90)), "en"), (72, " ".join(han(2) for _ in range(90)), "en"), (73, "word " * 30, "xx"), (74, None, "en"), (None, rows[0][1], "en"), (75, " ".join(f"%{k}#" for k in range(90)), "pl")]
+    df = spark.createDataFrame([(*x, 1, "k", 2.0) for x in rows], "doc_id long, text string, lang string, classes int, kept string, reference double").repartition(3)
+    got = defaultdict(list)
+    for x in op5_divergence.quality(df).collect():
+        got[x.doc_id].append(x)
+    measured = []
+    for _, text, lang in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        marked = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+        listed = op5_divergence.COMMON.get(lang, "").split()
+        classes, seen = [0] * 9, [0] * (len(listed) + 1)
+        for c in text:
+            classes[_brute_class(c)] += 1
+        for w in words:
+            w = w if w in listed else w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())).lower()
+            seen[listed.index(w) if w in listed else -1] += 1
+        measured.append((len(words), len(words) < 20 or 100 * len(marked) > 30 * len(words), classes, seen, sum(classes)))
+    sums = {}
+    for (n, failed, classes, seen, _), (_, _, lang) in zip(measured, rows, strict=True):
+        if not failed:
+            have = sums.setdefault(lang, [0, [0] * 9, [0] * len(seen)])
+            sums[lang] = [have[0] + n, [a + b for a, b in zip(have[1], classes, strict=True)], [a + b for a, b in zip(have[2], seen, strict=True)]]
+    verdicts = Counter()
+    for (n, failed, classes, seen, chars), (i, _, lang) in zip(measured, rows, strict=True):
+        ref = sums.get(lang)
+        ref = ref if ref and ref[0] >= 300 else None
+        of_class = _brute_distance(classes, ref[1]) if ref and chars >= op5_divergence.MIN_CHARS else None
+        of_words = _brute_distance(seen, ref[2]) if ref and lang == "en" and n >= 40 else None
+        x = got[i][0]
+        assert (x.class_distance, x.word_distance) == (of_class and pytest.approx(of_class), of_words and pytest.approx(of_words)), i
+        assert x.kept == (not failed and not (of_class or 0) > 0.29 and not (of_words or 0) > 0.30)
+        verdicts[failed, x.kept] += 1
+    assert verdicts[False, True] > 30 and verdicts[False, False] >= 3 and got[52][0].kept and not got[72][0].kept
+    known = op5_divergence.references(op5_divergence.measure(df))
+    assert {x.doc_id: x.kept for x in op5_divergence.quality(df.where("doc_id = 72"), known).collect()} == {72: False}
+
+
 def test_op6(docs, empty):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     library.encode_special_tokens = True
@@ -286,9 +380,46 @@ def test_op7(docs, empty, spark):
         raw = (TEXTS[r.doc_id] or "").encode()
         assert (r["size"], r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
     assert op7_ring.assign(empty).count() == 0
-    few = {r.doc_id: r.shard for r in op7_ring.assign(spark.range(4000).selectExpr("id doc_id", "'t' text"), 8, 256).collect()}
-    more = {r.doc_id: r.shard for r in op7_ring.assign(spark.range(4000).selectExpr("id doc_id", "'t' text"), 9, 256).collect()}
-    assert sum(few[k] != more[k] for k in few) < 0.35 * len(few)
+    few, more = ({r.doc_id: r.shard for r in op7_ring.assign(spark.range(20_000).selectExpr("id doc_id", "'t' text"), n, 256).collect()} for n in (24, 25))
+    assert sum(few[k] != more[k] for k in few) < 2 / 25 * len(few)
+    cells, owner = op7_ring.ring(300, 256)
+    assert len(cells) == 300 * 256 == len(set(cells)) and set(Counter(owner).values()) == {256}
+
+
+def test_op7_repeated_ids(spark):
+    """Rows that share a doc_id or have none are ranked in pieces; each row has a place of its own, and each shard its count."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"t{k % 50}", k) for k in range(6000)]
+    got = op7_ring.assign(spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3), shards=5, nodes=16).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 6000 and max(counts.values()) - min(counts.values()) <= 1
+    assert {(r.shard, r.slot) for r in got} == {(s, k) for s, n in counts.items() for k in range(n)}
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t, _ in rows)
+
+
+def test_op7_settled():
+    """Shares of arcs against walking the ring row by row."""
+    r = random.Random(2)
+    for _ in range(30):
+        shards, arcs = r.randint(1, 6), r.randint(6, 20)
+        owner = [k % shards for k in range(arcs)]
+        r.shuffle(owner)
+        counts = [r.choice([0, 1, 3, 40]) for _ in range(arcs)]
+        total = sum(counts)
+        room = [total // shards + (s < total % shards) for s in range(shards)]
+        want = [Counter() for _ in counts]
+        for a, n in enumerate(counts):  # own shards first
+            want[a][owner[a]] = min(n, room[owner[a]])
+            room[owner[a]] -= want[a][owner[a]]
+        for a, n in enumerate(counts):
+            for _ in range(n - want[a][owner[a]]):
+                b = next(k % arcs for k in range(a + 1, a + 1 + arcs) if room[owner[k % arcs]])
+                room[owner[b]] -= 1
+                want[a][owner[b]] += 1
+        got = [Counter() for _ in counts]
+        for a, parts in enumerate(op7_ring.settle(counts, owner, shards)):
+            for s, n in parts:
+                got[a][s] += n
+        assert got == [+w for w in want]
 
 
 def test_op8(docs, empty):
