@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from verbaspark import runtime
 from verbaspark.llm import bpe, components, crf, encoding, jpeg, op1_jpeg, op2_chunks, op3_preference, op4_bpe, op5_divergence, op6_hilbert, op7_ring, op8_secrets, op9_simhash, op10_rans
 from verbaspark.llm.minimal_hash import MinimalPerfectHash
 
@@ -210,6 +211,85 @@ def test_op2_unspaced(spark):
     assert ends[-1] == 5000 and max(np.diff([0, *ends])) <= op2_chunks.MAX_CHUNK
 
 
+def brute_chunks(text):
+    """Chunk ends of one text by the definition."""
+    raw = text.encode()
+    white = [b == 32 or 9 <= b <= 13 for b in raw]
+    gear = [xxhash.xxh64_intdigest(bytes([b])) & 0xFFFF for b in range(256)]
+    h = [sum(gear[raw[i - k]] << k for k in range(16) if i >= k) & 0xFFFF for i in range(len(raw))]
+
+    def least(places, key, reach, apart):
+        out = []
+        for n, p in enumerate(places):
+            around = [q for m, q in enumerate(places) if q != p and apart(n, m, p, q) <= reach]
+            if all(key(p) < key(q) if q < p else key(p) <= key(q) for q in around):
+                out.append(p)
+        return out
+
+    words = [i for i in range(1, len(raw)) if white[i - 1] and not white[i]]
+    ends = least(words, lambda p: h[p - 1], 3, lambda n, m, p, q: abs(n - m))
+    starts = [0] + [i + 1 for i in range(len(raw)) if white[i]]
+    for a, b in zip(starts, [*starts[1:], len(raw)], strict=True):
+        if b - a > 129:
+            places = [p for p in range(a + 1, b) if not white[p] and raw[p] & 0xC0 != 0x80]
+            ends += least(places, lambda p: h[p - 1], 32, lambda n, m, p, q: abs(p - q))
+    out, last = [], 0
+    for p in [*sorted(ends), len(raw)] if raw else []:
+        while p - last > 1024:
+            last += 1024
+            while raw[last] & 0xC0 == 0x80:
+                last -= 1
+            out.append(last)
+        out.append(p)
+        last = p
+    return out
+
+
+def test_op2_brute_force(spark):
+    """Chunks, duplicates and passages by the definition; columns of any name; null and repeated doc_ids."""
+    r = random.Random(41)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = [prose(900 + k, 40) for k in range(6)] + [han(150)]
+    texts = [" ".join(r.choice([*shared, prose(r.random(), r.randint(3, 30)), han(r.randint(1, 120)), "\n\n  "]) for _ in range(r.randint(1, 6))) for _ in range(60)] + ["x" * 3000, None, "", " ", shared[0], shared[0]]
+    ids = [r.choice([None, 5, 6]) if k % 7 == 0 else 10 + k for k in range(len(texts))]
+    rows = [(i, t, f"row{k}", k, "mine", 1.5) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held string, held_by int, Removed string, _doc double").repartition(3)
+    got = {x.held: x for x in op2_chunks.dedup(df).collect()}
+    plain = op2_chunks.dedup(df, report=False)
+    assert plain.columns == df.columns and {(x.held, x.text) for x in plain.collect()} == {(k, x.text) for k, x in got.items()} and len(got) == len(rows)
+    parts = []
+    for t in texts:
+        raw, at, mine = (t or "").encode(), 0, []
+        for end in brute_chunks(t or ""):
+            mine.append(raw[at:end])
+            at = end
+        parts.append(mine)
+    first = {}
+    for i, mine in zip(ids, parts, strict=True):
+        for c in mine:
+            if i is not None:
+                first[c] = min(first.get(c, i), i)
+    cut = 0
+    for (i, t, name, *_), mine in zip(rows, parts, strict=True):
+        kept, run, seen, removed = [], [], set(), 0
+        for c in [*mine, None]:
+            if c is not None and (c in seen or i is not None and first[c] < i):
+                run.append(c)
+                continue
+            if sum(map(len, run)) < 100:
+                kept += run
+            else:
+                removed += sum(map(len, run))
+            run = []
+            if c is not None:
+                kept.append(c)
+                seen.add(c)
+        x = got[name]
+        assert (x.text, x.n_chunks, x.removed_bytes) == (t if t is None else b"".join(kept).decode(), len(mine), removed), name
+        cut += removed
+    assert cut > 5000
+
+
 def test_op3(spark):
     turns = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "A"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "B"),
@@ -636,9 +716,9 @@ def test_op10(docs, empty):
     library.encode_special_tokens = True
 
     def run(df):
-        tokens = op10_rans.tokenize(df, path, 0)
-        freq = op10_rans.quantized(op10_rans.id_counts(tokens))
-        return op10_rans.read_blocks(op10_rans.write_blocks(tokens, freq), freq)
+        folder = runtime.shared_dir(df.sparkSession)
+        op10_rans.write_container(op10_rans.tokenize(df, path, 0), folder)
+        return op10_rans.read_container(df.sparkSession, folder)
 
     got, start = by_id(run(docs)), 0
     for i, t in enumerate(TEXTS):
@@ -648,6 +728,24 @@ def test_op10(docs, empty):
     assert run(empty).count() == 0
 
 
+def test_op10_container(spark, tmp_path):
+    """The folder alone is enough; null and repeated doc_ids have their places; damage and too large ids are errors."""
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(None, "b"), (3, "same"), (3, "other words"), (3, "same"), (None, "a long text " * 2000), (1, ""), (2, None)]
+    op10_rans.write_container(op10_rans.tokenize(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string").repartition(3), path, 0), f"{tmp_path}/c")
+    got = sorted(map(tuple, op10_rans.read_container(spark, f"{tmp_path}/c").collect()), key=lambda r: r[1])
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows]
+    assert Counter((d, n, crc) for d, _, n, crc in got) == Counter((d, len(x), zlib.crc32(u4(x))) for (d, _), x in zip(rows, ids, strict=True))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()] and [r[0] for r in got] == [None, None, 1, 2, 3, 3, 3]
+    table = spark.read.parquet(f"{tmp_path}/c/frequencies")
+    table.withColumn("freq", F.col("freq") + F.when(F.col("id") == 5, 1).otherwise(0)).write.parquet(f"{tmp_path}/d/frequencies")
+    with pytest.raises(ValueError, match="damaged"):
+        op10_rans.read_frequencies(spark, f"{tmp_path}/d")
+    with pytest.raises(Exception, match="beyond 16 bits"):
+        op10_rans.tokenize(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path, 70_000).collect()
+
+
 def test_rans_blocks():
     r = np.random.default_rng(2)
     ids = np.minimum(r.geometric(0.01, 700_000), 3000).astype(np.int32)
@@ -712,6 +810,23 @@ def test_pipeline_near_copies(spark, monkeypatch, turns, block):
     assert wide > 50 and kept == {i for i, p in enumerate(parent) if p == i}
 
 
+def test_pipeline_columns_and_empty(spark, tmp_path):
+    """Extra columns of the stages' own names pass; an empty table passes every stage."""
+    import corpus_pipeline
+
+    rows = [(i, prose(i, 200) + f" pwd={'Zx9kQ2mP7vL4'}", "en", "s", 1, i, "mine", f"r{i}", 2.0) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, removed string, _row string, kept double"
+    for name, data in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == schema.replace(",", "").split()[::2]
+        got = docs.collect()
+        assert [(r.row, r.removed, r._row, r.kept) for r in sorted(got)] == [x[5:] for x in data]
+        assert all("Zx9kQ2mP7vL4" not in r.text and r.n_chars == len(r.text) for r in got)
+        assert corpus_pipeline.packing(spark, docs, "").count() == len(data)
+
+
 def test_pipeline_null_and_repeated_ids(spark):
     """A verdict holds for its row alone, and one row of each group stays."""
     import corpus_pipeline

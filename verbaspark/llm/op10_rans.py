@@ -1,13 +1,16 @@
 """Token ids in rANS blocks: shared frequencies, interleaved lanes, checkpoints and checksums.
 
-The container is a Parquet table of blocks in ascending order of doc_id, one part file for each range of
-documents, written and committed by Spark, so that a lost executor costs only its own tasks. A block
-holds whole documents and can be decoded alone; each of its segments starts at a checkpoint (the lanes'
-states and the place in the stream) and can be decoded alone too. Checksums cover every segment's ids
-and the block's bytes.
-
-Rows: null text counts as empty and holds only the end id; null doc_ids come first; rows that repeat are
-kept, in any order among themselves; an empty table gives empty files; other columns are ignored.
+The container is a folder of two Parquet tables: the shared table of frequencies, and the blocks in ascending order of doc_id,
+one part file for each range of documents. Spark writes and commits both, so that a lost executor costs only its own
+tasks, and the folder is all that a reader needs. A block holds whole documents and can be decoded alone with the table;
+each of its segments starts at a checkpoint (the lanes' states and the place in the stream) and can be decoded alone
+too. Checksums cover every segment's ids, the block's bytes and the frequencies.
+
+Ids lie in 16 bits before they are coded: a vocabulary with larger ones is an error, never cut.
+
+Rows: null text counts as empty and holds only the end id; null doc_ids come first; rows that share a doc_id are in the order of a
+hash of their ids, and equal rows next to one another, in any order; very long texts are read whole, each in one block; an empty
+table gives empty files; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from verbaspark.llm.encoding import encode_texts
 from verbaspark.llm.tables import chunks, documents, id_and_text, map_arrow
-from verbaspark.runtime import materialize
+from verbaspark.runtime import materialize, shared_dir
 
 MAGIC = b"RANS0001"
 SCALE = 20
@@ -141,6 +145,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int, words: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             ids, counts = encode_texts(path, batch.column(1), words)
+            if max(end_id, int(ids.max(initial=0))) > 0xFFFF:
+                raise ValueError("an id beyond 16 bits: the vocabulary is too large for this container")
             ends = np.cumsum(counts)
             ids = np.insert(ids.astype("<u2"), ends, np.uint16(end_id))
             at = np.append(0, np.cumsum(counts + 1)) * 2
@@ -168,8 +174,11 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def write_blocks(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
-    """The container: one row for each block, with the file it lies in and the ids before it there."""
+def write_container(tokens: DataFrame, path: str) -> None:
+    """The container below ``path``: ``frequencies``, and ``blocks`` with the file each lies in and the ids before it there."""
+    spark, freq = tokens.sparkSession, quantized(id_counts(tokens))
+    crc = zlib.crc32(freq.astype("<i8"))
+    spark.createDataFrame(pd.DataFrame({"id": np.arange(len(freq)), "freq": freq, "crc": crc})).coalesce(1).write.parquet(f"{path}/frequencies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file, first = Coder(freq), TaskContext.get().partitionId(), 0
@@ -195,12 +204,24 @@ def write_blocks(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
         if size:
             yield block()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialize(map_arrow(ordered, run, "file long, first long, n long, block binary"), "blocks")
+    # Rows that share a doc_id are parted by their ids, and equal ones by their place, so no key is too large for a range.
+    ordered = tokens.repartitionByRange("doc_id", F.xxhash64("ids"), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    map_arrow(ordered, run, "file long, first long, n long, block binary").write.parquet(f"{path}/blocks")
+
+
+def read_frequencies(spark: SparkSession, path: str) -> np.ndarray:
+    """The container's table, a row for each id of the vocabulary; raises where it does not match its checksum."""
+    rows = spark.read.schema("id long, freq long, crc long").parquet(f"{path}/frequencies").orderBy("id").collect()
+    freq = np.array([r.freq for r in rows], np.int64)
+    if [r.id for r in rows] != list(range(len(rows))) or any(r.crc != zlib.crc32(freq.astype("<i8")) for r in rows):
+        raise ValueError("the table of frequencies is damaged")
+    return freq
 
 
-def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
+def read_container(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the container."""
+    freq = read_frequencies(spark, path)
+    blocks = spark.read.schema("file long, first long, n long, block binary").parquet(f"{path}/blocks")
     before, base = 0, {}
     for r in blocks.groupBy("file").agg(F.sum("n").alias("n")).orderBy("file").collect():  # one row for each file
         base[r.file] = before
@@ -221,7 +242,7 @@ def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
 def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = materialize(tokenize(documents(spark, sf_dir), path, end_id=0), "tokens")
-    freq = quantized(id_counts(tokens))
-    return read_blocks(write_blocks(tokens, freq), freq)
+    tokens = materialize(tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0), "tokens")
+    path = shared_dir(spark)
+    write_container(tokens, path)
+    return read_container(spark, path)

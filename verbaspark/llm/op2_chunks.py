@@ -13,8 +13,9 @@ agreements (and digests that collide) change nothing. Every chunk stays in the f
 Only (digest, doc_id) pairs are shuffled to find duplicates, once for each document that holds a chunk; the first
 holder is found by a minimum with partial aggregation, and met by a join that can split a very common chunk.
 
-Rows: null and empty texts stay as they are; rows without doc_id, or that share one with another row, lose only
-what repeats within them or in smaller doc_ids; an empty table gives an empty result; other columns stay.
+Rows: null and empty texts stay as they are; very long texts are cut whole, each in one task's memory; rows without doc_id, or that
+share one with another row, lose only what repeats within them or in smaller doc_ids, so of rows that repeat under one doc_id each keeps its text;
+an empty table gives an empty result; other columns stay, but for those named as one of the report's, which it replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from verbaspark.llm.encoding import flat_text
@@ -166,11 +168,25 @@ def passages(ends: list[int], start: int, found: list[int], known: set[int]) ->
     return out, count
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated passages in ``text``, and n_chunks, n_duplicate_chunks, removed_bytes and
+def unused(name: str, names: list[str]) -> str:
+    """``name``, or that with marks before it until no column has it."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def dedup(docs: DataFrame, report: bool = True) -> DataFrame:
+    """``docs`` without the repeated passages in ``text``, and, with ``report``, n_chunks, n_duplicate_chunks, removed_bytes and
     removed (start:end in code points of the text before, joined by commas)."""
+    if report:
+        docs = docs.select([c for c in docs.columns if c.lower() not in MORE])
     names, at = docs.columns, docs.columns.index("text")
-    joined = docs.join(repeated(docs).withColumnRenamed("doc_id", "_doc").hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").select(*names, F.col("repeated").alias("_repeated"))
+    held, doc = unused("held", names), unused("held_by", names)
+    known = repeated(docs.select("doc_id", "text")).select(F.col("doc_id").alias(doc), F.col("repeated").alias(held))
+    # Rows without doc_id would meet in one task; a sorted merge spills, and splits a doc_id that too many rows have.
+    joined = docs.where("doc_id is not null").join(known.hint("merge"), F.col("doc_id") == F.col(doc), "left").select(*names, held)
+    joined = joined.unionByName(docs.where("doc_id is null").withColumn(held, F.lit(None).cast("array<long>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -194,10 +210,13 @@ def dedup(docs: DataFrame) -> DataFrame:
                 start += n
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             new, *more = (pa.array(c, t) for c, t in zip(cols, types, strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 : -1], *more], [*names, *MORE])
+            more = more if report else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 : -1], *more], [*names, *MORE[: len(more)]])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(joined, run, f"{fields}, n_chunks long, n_duplicate_chunks long, removed_bytes long, removed string")
+    schema = StructType([*docs.schema.fields])
+    for name, kind in zip(MORE, ("long", "long", "long", "string"), strict=True):
+        schema = schema.add(name, kind) if report else schema
+    return map_arrow(joined, run, schema)
 
 
 MORE = ["n_chunks", "n_duplicate_chunks", "removed_bytes", "removed"]

@@ -4,8 +4,9 @@ A document's ids are hashed with signs into buckets and projected to a few dimen
 numbers, so that equal texts lie at equal points. The points' Hilbert keys order the documents; the ids
 in this order are cut every ``window`` ids, so that only the last sequence has padding.
 
-Rows: null text counts as empty and holds only the end id; rows that repeat are packed each; an empty
-table gives an empty result; other columns are ignored.
+Rows: null text counts as empty and holds only the end id; very long texts are cut into as many pieces as they need; ties on the curve, and
+rows that repeat or share a doc_id, are packed one after another in the order they are read in, each row by itself; a null doc_id stays
+null; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -118,6 +119,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = 4096) -> Dat
             cols = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
+    # The side to hash has 24 bytes a document, where the other has all its ids.
     joined = keyed.select("row", "doc_id", "n", "ids").join(placed.hint("shuffle_hash"), "row").select("doc_id", "n", "ids", "part", "before")
     return map_arrow(joined, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
