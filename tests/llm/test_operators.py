@@ -178,6 +178,66 @@ def test_op1_general_decoder(restart):
     assert jpeg.rgb(image).shape == (24, 24, 3)
 
 
+def _independent_pixels(image):
+    """Samples by the sum over cosines for each pixel, and colours by the formula in real numbers."""
+    h, v = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
+    order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    scale = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+    cell = [[[scale(r) * scale(c) / 4 * math.cos((2 * y + 1) * r * math.pi / 16) * math.cos((2 * x + 1) * c * math.pi / 16) for r, c in order] for x in range(8)] for y in range(8)]
+    planes = []
+    for c in image.components.values():
+        plane = np.zeros((image.height, image.width))
+        for y in range(image.height):
+            for x in range(image.width):
+                j, i = y * c.v // v, x * c.h // h
+                values = (c.blocks[j // 8, i // 8] * image.quants[c.quant]).tolist()
+                plane[y, x] = min(255, max(0, math.floor(sum(a * b for a, b in zip(values, cell[j % 8][i % 8], strict=True)) + 128.5)))
+        planes.append(plane)
+    y, blue, red = planes[0], planes[1] - 128, planes[2] - 128
+    return np.clip(np.stack([y + 1.402 * red, y - 0.344136 * blue - 0.714136 * red, y + 1.772 * blue], 2), 0, 255)
+
+
+def test_op1_scans_and_pixels():
+    """The stored form has runs, ends of bands and new coefficients in its scans; pixels are those of an independent transform."""
+    r = random.Random(6)
+    texts = [b"", b"a", bytes(range(256)) * 5, prose(3, 400).encode(), bytes(r.choice([95, 96, 97, 96, 0]) for _ in range(4000)), b"`" * 3000, r.randbytes(5000), bytes(r.randrange(256) for _ in range(384 * 40_000 // 64))]
+    symbols = Counter()
+    plain = jpeg.Bits.symbol
+
+    def counted(self, table):
+        s = plain(self, table)
+        if len(table) == 1 << 16 and table is jpeg.lookup(jpeg._run_codes()[0][5:])[0]:
+            symbols["run" if s >> 4 and s & 15 else "zeros" if s == 0xF0 else "ends" if not s & 15 else "next"] += 1
+        return s
+
+    jpeg.Bits.symbol = counted
+    try:
+        for t in texts:
+            media = jpeg.encode(op1_jpeg.padded(t))
+            assert jpeg.payload(jpeg.coefficients(media)) == op1_jpeg.padded(t)
+    finally:
+        jpeg.Bits.symbol = plain
+    assert all(symbols[k] > 20 for k in ("run", "ends", "next"))
+    for t in (texts[3][:500], texts[6][:700]):
+        image = jpeg.coefficients(jpeg.encode(op1_jpeg.padded(t)))
+        apart = np.abs(jpeg.rgb(image) - _independent_pixels(image))  # a sample that rounds the other way changes colours by up to three
+        assert apart.max() <= 3 and (apart <= 0.51).mean() > 0.97
+
+
+def test_op1_odd_files(spark):
+    """A header that claims too much, chroma at 3:2, no components: null or pixels, never an error."""
+    good = jpeg.encode(b"a" * 3000)
+    frame = good.index(b"\xff\xc2")
+    bomb = good[: frame + 5] + b"\xff\xff\xff\xff" + good[frame + 9 :]
+    ratio = jpeg._HEAD + jpeg._segment(0xC2, bytes([8, 0, 24, 0, 24, 3, 1, 0x33, 0, 2, 0x22, 0, 3, 0x22, 0])) + b"\xff\xd9"
+    none = jpeg._HEAD + jpeg._segment(0xC2, bytes([8, 0, 24, 0, 24, 3, 1, 0x00, 0, 2, 0x22, 0, 3, 0x22, 0])) + b"\xff\xd9"
+    rows = [(1, good), (2, bomb), (3, ratio), (4, none), (None, good[:200]), (6, good[: len(good) // 2])]
+    got = {r.id: r for r in op1_jpeg.tensors(spark.createDataFrame([(*r, 1, "x") for r in rows], "id long, im binary, height int, rgb string"), "id", "im").collect()}
+    assert got[2].rgb is None and got[4].rgb is None and got[None].rgb is None
+    assert (got[3].height, got[3].width) == (24, 24) and set(got[3].rgb) == {128} and got[1].height == 48
+    assert op1_jpeg.tensors(spark.createDataFrame([(1, good)], "id long, im binary"), "id", "im", most=100).first().rgb is None
+
+
 def test_op2(docs, empty, spark):
     got = by_id(op2_chunks.dedup(docs))
     assert set(got) == set(range(len(TEXTS)))

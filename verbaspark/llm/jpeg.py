@@ -5,12 +5,15 @@ spectral selection and successive approximation, first passes and refinements. T
 whole arrays: refinements of DC, runs of blocks that hold correction bits only, and first passes whose table has
 one symbol, so that all coefficients have codes of one length. All else goes coefficient by coefficient.
 
-``encode`` writes coefficients the other way about, of magnitudes 128 to 255 only, in the scans that this makes cheap.
+``encode`` writes coefficients the other way about. Most of a payload lies in magnitudes 128 to 255 only, in scans that this
+makes cheap; the upper band of the last component holds signed values around zero, in scans with run lengths, ends of bands and
+refinements that bring new coefficients, as files of other writers have.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import struct
 from dataclasses import dataclass, field
@@ -114,8 +117,12 @@ class Image:
     comment: bytes
 
 
-def coefficients(data: bytes) -> Image:
-    """All coefficients of a progressive file, in zigzag order by block."""
+#: Pixels of an image that is decoded, at most: a header can claim four thousand million.
+MOST_PIXELS = 1 << 25
+
+
+def coefficients(data: bytes, most: int = MOST_PIXELS) -> Image:
+    """All coefficients of a progressive file, in zigzag order by block. Beyond ``most`` pixels it is an error."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, quants, tables, image, comment, interval = 2, {}, {}, None, b"", 0
@@ -145,7 +152,7 @@ def coefficients(data: bytes) -> Image:
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif marker == 0xC2:
-            image = _frame(body, quants)
+            image = _frame(body, quants, most)
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a progressive Huffman-coded file")
         elif marker == 0xDA:
@@ -162,11 +169,15 @@ def coefficients(data: bytes) -> Image:
     return image
 
 
-def _frame(body: bytes, quants: dict[int, np.ndarray]) -> Image:
+def _frame(body: bytes, quants: dict[int, np.ndarray], most: int) -> Image:
     depth, height, width, n = struct.unpack_from(">BHHB", body)
     if depth != 8 or n not in (1, 3) or not width or not height:
         raise ValueError("a kind of image that is not supported")
+    if width * height > most:
+        raise ValueError("an image of too many pixels")
     parts = {body[6 + 3 * k]: Component(body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+    if len(parts) != n or not all(1 <= c.h <= 4 and 1 <= c.v <= 4 for c in parts.values()):
+        raise ValueError("wrong components")
     h, v = max(c.h for c in parts.values()), max(c.v for c in parts.values())
     across, down = -(-width // (8 * h)), -(-height // (8 * v))
     for c in parts.values():
@@ -326,8 +337,8 @@ def rgb(image: Image) -> np.ndarray:
         flat = (c.blocks.reshape(-1, 64) * image.quants[c.quant]).astype(np.float64) @ basis()
         samples = np.clip(np.floor(flat * (1 / 4096) + 128.5), 0, 255).astype(np.int16)
         plane = samples.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-        if c.h != h or c.v != v:
-            plane = plane.repeat(v // c.v, 0).repeat(h // c.h, 1)
+        if c.h != h or c.v != v:  # any ratio: each place takes the sample that covers it
+            plane = plane[np.arange(image.height) * c.v // v][:, np.arange(image.width) * c.h // h]
         planes.append(plane[: image.height, : image.width])
     if len(planes) == 1:
         return np.repeat(planes[0][..., None].astype(np.uint8), 3, 2)
@@ -340,8 +351,8 @@ def rgb(image: Image) -> np.ndarray:
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    return rgb(coefficients(data))
+def decode(data: bytes, most: int = MOST_PIXELS) -> np.ndarray:
+    return rgb(coefficients(data, most))
 
 
 # Writing
@@ -402,12 +413,119 @@ def _ac_corrections(bits: np.ndarray) -> tuple[bytes, bytes]:
     return _table(0x10, {k + 1: [r << 4] for k, r in enumerate(kinds)}), _stuffed(np.concatenate(out))
 
 
+#: The band of the last component that holds signed values: first coefficient, how far a byte lies above its value, first point transform.
+BAND, ABOVE, SHIFT = 56, 96, 2
+
+
+@functools.cache
+def _run_codes() -> tuple[bytes, dict[int, tuple[int, int]]]:
+    """A table for runs and sizes (of eight bits at most) and ends of bands, and (code, length) of each symbol, by Huffman's rule for weights that fall with both."""
+    weight = {r << 4 | size: 2.0 ** -(r / 4 + 0.75 * size) for r in range(16) for size in range(1, 9)} | {0xF0: 2.0**-6} | {r << 4: 2.0 ** -(2 + r / 2) for r in range(15)}
+    heap = [(w + 1e-6, s, (s,)) for s, w in weight.items()] + [(0.0, 256, (256,))]  # 256 takes the code of ones, which none may have
+    heapq.heapify(heap)
+    length = dict.fromkeys([*weight, 256], 0)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        for s in a[2] + b[2]:
+            length[s] += 1
+        heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+    order = sorted(weight, key=lambda s: (length[s], s))
+    sizes = bytes(sum(length[s] == k for s in order) for k in range(1, 17))
+    assert sum(sizes) == len(order)
+    codes, code, last = {}, 0, length[order[0]]
+    for s in order:
+        code <<= length[s] - last
+        codes[s], last = (code, length[s]), length[s]
+        code += 1
+    return _segment(0xC4, bytes([0x10]) + sizes + bytes(order)), codes
+
+
+class _Writer:
+    """Bits of one scan: symbols of the table for runs, and what stands behind them."""
+
+    def __init__(self):
+        self.codes, self.out, self.ends, self.held = _run_codes()[1], [], 0, []
+
+    def symbol(self, s: int, value: int = 0, size: int = 0) -> None:
+        code, n = self.codes[s]
+        self.out.append(f"{code << size | value:0{n + size}b}")
+
+    def end_bands(self) -> None:
+        """The blocks whose band has ended since the last symbol, and their correction bits."""
+        if self.ends:
+            size = self.ends.bit_length() - 1
+            self.symbol(size << 4, self.ends - (1 << size), size)
+            self.out += self.held
+            self.ends, self.held = 0, []
+
+    def end_block(self, held: list[str]) -> None:
+        self.ends += 1
+        self.held += held
+        if self.ends == 0x7FFF:
+            self.end_bands()
+
+    def data(self) -> bytes:
+        self.end_bands()
+        bits = "".join(self.out)
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+
+
+def _write_first(band: np.ndarray, low: int) -> bytes:
+    """A first pass over a band, the magnitudes shifted by ``low``."""
+    w = _Writer()
+    for row in (np.sign(band) * (np.abs(band) >> low)).tolist():
+        run = 0
+        for v in row:
+            if not v:
+                run += 1
+                continue
+            w.end_bands()
+            while run > 15:
+                w.symbol(0xF0)
+                run -= 16
+            size = abs(v).bit_length()
+            w.symbol(run << 4 | size, v if v > 0 else v + (1 << size) - 1, size)
+            run = 0
+        if run:
+            w.end_block([])
+    return w.data()
+
+
+def _write_refinement(band: np.ndarray, low: int) -> bytes:
+    """The next bit of the coefficients that are known, and those that it makes new."""
+    w = _Writer()
+    for row in (np.sign(band) * (np.abs(band) >> low)).tolist():
+        run, held = 0, []
+        left = sum(v in (1, -1) for v in row)
+        for v in row:
+            if v in (0, 1, -1):
+                if v:
+                    w.end_bands()
+                    w.symbol(run << 4 | 1, int(v > 0), 1)
+                    w.out += held
+                    run, held, left = 0, [], left - 1
+                elif run == 15 and left:
+                    w.end_bands()
+                    w.symbol(0xF0)
+                    w.out += held
+                    run, held = 0, []
+                else:
+                    run += 1
+            else:
+                held.append(str(abs(v) & 1))
+        if run or held:
+            w.end_block(held)
+    return w.data()
+
+
 def encode(payload: bytes) -> bytes:
     """A colour image with halved chroma whose coefficients hold ``payload``, a byte in each.
 
     Byte b is coefficient b from 128 on and b - 255 below, so that every magnitude is 128 to 255: after a point
     transform by 1 all have the size 7, their bits are b >> 1, and the last bit of the magnitude is left to the
-    refinement. The payload fills luma, then both chroma planes; what is left holds zero bytes. A comment has its length.
+    refinement. In the last component's coefficients from BAND on, byte b is b - ABOVE, written in SHIFT + 1 scans.
+    The payload fills luma, then both chroma planes; what is left holds zero bytes. A comment has its length.
     """
     units = max(1, -(-len(payload) // 384))
     across = int(np.ceil(np.sqrt(units)))
@@ -421,17 +539,23 @@ def encode(payload: bytes) -> bytes:
     luma = dc[0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(units, 4)
     joined = np.hstack([luma, dc[1][:, None], dc[2][:, None]])
     out = [_HEAD, comment, frame, _DC_TABLE, _start([1, 2, 3], 0, 0, 0, 1), _dc_first(joined >> 1, [slice(0, 4), slice(4, 5), slice(5, 6)], [4, 1, 1]), _AC_TABLE]
-    for part, first, last in ((1, 1, 5), (2, 1, 63), (3, 1, 63), (1, 6, 63)):
+    for part, first, last in ((1, 1, 5), (2, 1, 63), (3, 1, BAND - 1), (1, 6, 63)):
         # A code of one bit, zero, and seven bits: a byte below 128 each, so none needs stuffing.
         out += [_start([part], first, last, 0, 1), (planes[part - 1][:, first : last + 1] >> 1).tobytes()]
     out += [_start([1, 2, 3], 0, 0, 1, 0), _stuffed((joined & 1).astype(np.uint8).ravel())]
-    for part, plane in enumerate(planes, 1):
-        table, data = _ac_corrections(((plane[:, 1:] & 1) ^ (plane[:, 1:] < 128)).astype(np.uint8))
-        out += [table, _start([part], 1, 63, 1, 0), data]
+    for part, last in ((1, 63), (2, 63), (3, BAND - 1)):
+        plane = planes[part - 1][:, 1 : last + 1]
+        table, data = _ac_corrections(((plane & 1) ^ (plane < 128)).astype(np.uint8))
+        out += [table, _start([part], 1, last, 1, 0), data]
+    band = planes[2][:, BAND:].astype(np.int16) - ABOVE
+    out += [_run_codes()[0], _start([3], BAND, 63, 0, SHIFT), _write_first(band, SHIFT)]
+    for low in range(SHIFT - 1, -1, -1):
+        out += [_start([3], BAND, 63, low + 1, low), _write_refinement(band, low)]
     return b"".join([*out, b"\xff\xd9"])
 
 
 def payload(image: Image) -> bytes:
     """What ``encode`` stored."""
-    flat = np.concatenate([c.blocks.ravel() for c in image.components.values()])
-    return np.where(flat > 0, flat, flat + 255).astype(np.uint8).tobytes()[: int(image.comment)]
+    parts = [np.where(c.blocks > 0, c.blocks, c.blocks + 255).reshape(-1, 64) for c in image.components.values()]
+    parts[2][:, BAND:] = image.components[3].blocks.reshape(-1, 64)[:, BAND:] + ABOVE
+    return np.concatenate([p.ravel() for p in parts]).astype(np.uint8).tobytes()[: int(image.comment)]

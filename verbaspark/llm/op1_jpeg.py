@@ -1,8 +1,8 @@
 """Media columns: progressive JPEG to full-resolution RGB tensors.
 
-Rows: a null or damaged image gives null height, width and rgb; a null text counts as empty (64 zero bytes are
-stored); empty and very long texts and rows that repeat are ordinary; an empty table gives an empty result;
-other columns are ignored.
+Rows: a null or damaged image, and one of more than ``most`` pixels, gives null height, width and rgb; a null text counts as empty
+(64 zero bytes are stored); a very long text is one image, in one task's memory; rows that repeat, equal texts and equal images get
+equal answers; a null key stays null; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from verbaspark.llm.encoding import flat_text
 from verbaspark.llm.tables import chunks, documents, id_and_text, map_arrow
 
 
-def tensors(images: DataFrame, key: str, column: str) -> DataFrame:
+def tensors(images: DataFrame, key: str, column: str, most: int = jpeg.MOST_PIXELS) -> DataFrame:
     """``key``, height, width and rgb (height x width x 3 bytes) of the progressive JPEG files in ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,8 +30,8 @@ def tensors(images: DataFrame, key: str, column: str) -> DataFrame:
             shapes, data = [], []
             for raw in batch.column(1).to_pylist():
                 try:
-                    got = jpeg.decode(raw) if raw else None
-                except (ValueError, IndexError, KeyError, TypeError, struct.error):  # whatever damaged bytes lead to
+                    got = jpeg.decode(raw, most) if raw else None
+                except (ValueError, IndexError, KeyError, TypeError, MemoryError, struct.error):  # whatever damaged bytes lead to
                     got = None
                 shapes.append((None, None) if got is None else got.shape[:2])
                 data.append(None if got is None else got.tobytes())
@@ -61,7 +61,7 @@ def stored(docs: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in range(7)]
             for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
                 media = jpeg.encode(padded(data[end - n : end]))
-                image = jpeg.coefficients(media)
+                image = jpeg.coefficients(media, len(media) * 64)
                 back = jpeg.payload(image)
                 for col, x in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(jpeg.rgb(image))), strict=True):
                     col.append(x)
