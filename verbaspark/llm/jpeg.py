@@ -33,11 +33,11 @@ def zigzag() -> np.ndarray:
 
 @functools.cache
 def basis() -> np.ndarray:
-    """Row k: what zigzag coefficient k adds to the 64 samples, times 4096, rounded; sums are exact in doubles."""
+    """Row k: what zigzag coefficient k adds to the 64 samples, times 65536, rounded; sums are exact in doubles."""
     k = np.arange(8)
     cosines = np.cos((2 * k[:, None] + 1) * k[None, :] * np.pi / 16) * np.where(k == 0, np.sqrt(0.125), 0.5)
     full = np.einsum("xu,yv->uvxy", cosines, cosines).reshape(64, 64)
-    return np.rint(full[zigzag()] * 4096)
+    return np.rint(full[zigzag()] * 65536)
 
 
 @functools.lru_cache(256)
@@ -335,7 +335,7 @@ def rgb(image: Image) -> np.ndarray:
     for c in image.components.values():
         rows, cols = c.blocks.shape[:2]
         flat = (c.blocks.reshape(-1, 64) * image.quants[c.quant]).astype(np.float64) @ basis()
-        samples = np.clip(np.floor(flat * (1 / 4096) + 128.5), 0, 255).astype(np.int16)
+        samples = np.clip(np.floor(flat * (1 / 65536) + 128.5), 0, 255).astype(np.int16)
         plane = samples.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
         if c.h != h or c.v != v:  # any ratio: each place takes the sample that covers it
             plane = plane[np.arange(image.height) * c.v // v][:, np.arange(image.width) * c.h // h]
