@@ -15,27 +15,46 @@ def _word(form: str, group: Column) -> Column:
 
 def _div(n: Column, by: int) -> Column:
     """Whole division of a number that is not negative."""
-    return ((n - n % by) / by).cast("long")
+    return F.call_function("div", n, F.lit(by))
 
 
 def _signed(n: Column, minus: str, zero: str, words: Column) -> Column:
     return F.when(n == 0, zero).when(n.isNotNull(), F.concat(F.when(n < 0, f"{minus} ").otherwise(""), words))
 
 
+#: From here on a language reads a number digit by digit, in columns as in texts; those not named, from 10**15.
+LIMITS = {"en": 2**63, "rw": 10**12, "hi": 10**13, "hu": 2**63, "vi": 2**63, "zh": 2**63, "ja": 2**63, "ko": 2**63}
+
+
 def cardinal(n: Column, lang: str = "en", joined: bool = True) -> Column:
-    """Words of a whole number below 10**15 (Italian, Vietnamese and Kinyarwanda: 10**12); null stays null.
-    ``joined``: English ``and`` as in plain numbers."""
+    """Words of a whole number; null stays null. ``joined``: English ``and`` as in plain numbers.
+
+    Every long has words: what lies beyond a language's greatest scale comes digit by digit, and so does the least long but in English."""
     n = n.cast("long")
-    if lang in world.TONGUES:
-        return _eastern(n, lang) if lang in ("zh", "ja", "ko") else _leveled(n, lang)
+    if lang == "en":
+        return _english(n, joined)
+    last = LIMITS.get(lang, 10**15) - 1
+    words = _eastern(n, lang) if lang in ("zh", "ja", "ko") else _leveled(n, lang) if lang in world.TONGUES else _western(n, lang)
+    minus = {"es": "menos", "fr": "moins", "de": "minus"}.get(lang) or world.TONGUES[lang].minus
+    names = world.digit_words(lang) if lang in world.TONGUES else under_1000(lang)[:10]
+    spelt = F.concat(F.when(n < 0, f"{minus} ").otherwise(""), digits(F.replace(n.cast("string"), F.lit("-"), F.lit("")), names))
+    return F.when((n <= last) & (n >= -last), words).when(n.isNotNull(), spelt)
+
+
+def _english(n: Column, joined: bool) -> Column:
+    text = F.lpad(F.replace(n.cast("string"), F.lit("-"), F.lit("")), 21, "0")  # the least long has no positive counterpart
+    g = [F.substring(text, 19 - 3 * k, 3).cast("int") for k in range(7)]
+    parts = [F.when(g[k] > 0, F.concat(_word("en", g[k]), F.lit(f" {EN_SCALES[k]}"))) for k in (6, 5, 4, 3, 2, 1)]
+    last = _word("en", g[0])
+    if joined:
+        last = F.when(g[0] >= 100, _word("en_and", g[0])).when(g[1] > 0, F.concat(F.lit("and "), last)).otherwise(last)
+    return _signed(n, "minus", "zero", F.concat_ws(" ", *parts, F.when(g[0] > 0, last)))
+
+
+def _western(n: Column, lang: str) -> Column:
+    """Spanish, French and German."""
     a = F.abs(n)
     g = [_div(a, 1000**k) % 1000 for k in range(5)]
-    if lang == "en":
-        parts = [F.when(g[k] > 0, F.concat(_word("en", g[k]), F.lit(f" {EN_SCALES[k]}"))) for k in (4, 3, 2, 1)]
-        last = _word("en", g[0])
-        if joined:
-            last = F.when(g[0] >= 100, _word("en_and", g[0])).when(g[1] > 0, F.concat(F.lit("and "), last)).otherwise(last)
-        return _signed(n, "minus", "zero", F.concat_ws(" ", *parts, F.when(g[0] > 0, last)))
     if lang == "es":
         def six(high: Column, low: Column, end: str) -> Column:
             thousand = F.when(high == 1, "mil").when(high > 1, F.concat(_word("es_short", high), F.lit(" mil")))
@@ -63,23 +82,27 @@ def _pick(table: list[str], at: Column) -> Column:
     return F.element_at(F.split(F.lit("|".join(table)), r"\|"), at.cast("int") + 1)
 
 
-def _leveled(n: Column, lang: str) -> Column:
-    """Level by level with a table of 1000 names each; what joins a level to those above is a table as well."""
+def _leveled(n: Column, lang: str, top: int | None = None) -> Column:
+    """Level by level with a table of 1000 names each; what joins a level to those above is a table as well.
+    ``top``: how many the greatest level counts, where that is less."""
     tongue, a = world.TONGUES[lang], F.abs(n)
     pieces = []
-    for div, size, name in tongue.levels:
-        if div > 10**12:
+    for k, (div, size, name) in enumerate(tongue.levels):
+        size = top if top and not k else size
+        if div > 10**18:
             continue
         g = _div(a, div) % size
-        if lang == "it" and div == 10**6:
+        if lang == "vi" and not k and not top:
+            said = F.concat(_leveled(g, "vi", 10), F.lit(" tỷ"))
+        elif lang == "it" and div == 10**6:
             high = _div(g, 1000)
             thousands = _pick([""] + [world.TONGUES["it"].levels[2][2](k) for k in range(1, 1000)], high)
             said = F.when(g == 1, "un milione").otherwise(F.concat_ws(" ", F.when(high > 0, thousands), F.when(g % 1000 > 0, _pick([""] + [name_ for name_ in map(tongue.levels[3][2], range(1, 1000))], g % 1000)), F.lit("milioni")))
         else:
             said = _pick([""] + [name(k) for k in range(1, min(size, 1000))], g)
-        joint = lambda below: _pick([""] + [tongue.joint(div, k, below, False) for k in range(1, min(size, 1000))], g % 1000)  # noqa: B023, E731
+        joint = lambda below: _pick([""] + [tongue.joint(div, k, below, False) for k in range(1, min(size, 1000))], F.greatest(g % 1000, F.lit(1)))  # noqa: B023, E731
         between = F.when(a % div > 0, joint(True)).otherwise(joint(False))
-        pieces.append(F.when(g > 0, F.concat(F.when(a >= min(div * size, 2**63 - 1), between).otherwise(""), said)))
+        pieces.append(F.when(g > 0, F.concat(F.when(a >= div * size, between).otherwise("") if div * size < 2**63 else F.lit(""), said)))
     out = F.concat_ws("", *pieces)
     if lang == "hu":
         out = F.when(a <= 2000, F.replace(out, F.lit("-"), F.lit(""))).otherwise(out)
@@ -93,14 +116,15 @@ def _eastern(n: Column, lang: str) -> Column:
     zero, one = names[0], names[1]
     thousand, hundred, ten = "천백십" if lang == "ko" else "千百十"
     pieces, empty_above = [], F.lit(False)
-    for k, sign in ((3, "조" if lang == "ko" else "兆"), (2, "억" if lang == "ko" else "億" if lang == "ja" else "亿"), (1, "만" if lang == "ko" else "万"), (0, "")):
+    for k, sign in ((4, "경" if lang == "ko" else "京"), (3, "조" if lang == "ko" else "兆"), (2, "억" if lang == "ko" else "億" if lang == "ja" else "亿"), (1, "만" if lang == "ko" else "万"), (0, "")):
         g = _div(a, 10_000**k) % 10_000
+        above = a >= 10_000 ** (k + 1) if k < 4 else F.lit(False)
         padded = F.translate(F.lpad(g.cast("string"), 4, "0"), "0123456789", names)
         said = F.regexp_replace(padded, "^(.)(.)(.)(.)$", f"$1{thousand}$2{hundred}$3{ten}$4")
         if lang == "zh":
             said = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, f"{zero}[{thousand}{hundred}{ten}]", zero), f"{zero}+", zero), f"^{zero}|{zero}$", "")
             said = F.when(g < 20, F.regexp_replace(said, f"^{one}{ten}", ten) if k else F.when(a < 20, F.regexp_replace(said, f"^{one}{ten}", ten)).otherwise(said)).otherwise(said)
-            gap = F.when((a >= 10_000 ** (k + 1)) & ((g < 1000) | empty_above), zero).otherwise("")
+            gap = F.when(above & ((g < 1000) | empty_above), zero).otherwise("")
         else:
             said = F.regexp_replace(F.regexp_replace(said, f"{zero}[{thousand}{hundred}{ten}]?", ""), f"{one}(?=[{thousand}{hundred}{ten}])", "")
             if lang == "ja":
@@ -113,10 +137,10 @@ def _eastern(n: Column, lang: str) -> Column:
     return F.when(n == 0, tongue.zero).when(n.isNotNull(), F.concat(minus, *[F.coalesce(p, F.lit("")) for p in pieces]))
 
 
-def digits(text: Column) -> Column:
-    """Each digit of a string by name, English."""
+def digits(text: Column, names: list[str] | None = None) -> Column:
+    """Each digit of a string by name, English by default."""
     out = text
-    for d, name in enumerate(under_1000("en")[:10]):
+    for d, name in enumerate(names or under_1000("en")[:10]):
         out = F.replace(out, F.lit(str(d)), F.lit(f"{name} "))
     return F.rtrim(out)
 

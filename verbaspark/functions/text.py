@@ -33,7 +33,19 @@ def escape(text: Column) -> Column:
 
 
 def drop_nul(text: Column) -> Column:
-    return F.replace(text, F.lit("\x00"), F.lit(""))
+    """Without U+0000; a text of nothing else stays."""
+    rest = F.replace(text, F.lit("\x00"), F.lit(""))
+    return F.when(rest == "", text).otherwise(rest)
+
+
+def to_float32(x: Column) -> Column:
+    """Rounded to 32 bits, as weights are after each sum."""
+    return x.cast("float")
+
+
+def valid_utf8(raw: Column) -> Column:
+    """The text of UTF-8 bytes; null where they are malformed."""
+    return F.try_validate_utf8(raw.cast("string"))
 
 
 def pre_process(text: Column) -> Column:

@@ -1,5 +1,7 @@
-"""Classified tokens such as ``tokens { money { integer: "20" currency: "$" } }``: reading, bounded groups, orders.
+"""Classified tokens such as ``tokens { measure { units: "km" decimal: "7" } }``: reading, bounded groups, orders, and the first
+order that a verbalizer takes.
 
+The grammar of a token's text and the spaces in its serializations are fixed values: graphs are made for them.
 A token is a dict in the order of its fields; values are text, a nested dict, true (``preserve_order``) or none (empty).
 """
 
@@ -9,12 +11,14 @@ import itertools
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verbaspark.operators.transducer import Graph, NoPathError
+
 #: One field name, then its opening brace, its value up to a quote before a space, or true; or a closing brace.
 _LEX = re.compile(r' *(?:(?P<key>[A-Za-z_]+) *(?:(?P<open>\{)|: *"(?P<value>(?:(?!" ).)*)"(?= )|: *(?P<flag>true))|(?P<close>\}))', re.S)
 
@@ -56,18 +60,17 @@ def orders(token: dict) -> int:
 
 def bounded_groups(tokens: list[dict], limit: int = 729) -> list[list[dict]]:
     """Consecutive tokens in groups whose orders multiply to the limit at most; one token beyond it is an error."""
-    out: list[list[dict]] = [[]]
-    product = 1
-    for token in tokens:
-        n = orders(token)
-        if product * n > limit:
-            out.append([])
-            product = 1
-        if n > limit:
-            raise ValueError(f"one token has {n} orders, more than {limit}")
-        out[-1].append(token)
-        product *= n
-    return out
+    sizes = [orders(t) for t in tokens]
+    if (most := max(sizes, default=1)) > limit:
+        raise ValueError(f"one token has {most} orders, more than {limit}")
+    running = itertools.accumulate(sizes, lambda product, n: product * n if product * n <= limit else n)
+    # A group begins where the running product has started again from one token's own orders, not from the product before.
+    begins, last = [0], 1
+    for k, (n, product) in enumerate(zip(sizes, running, strict=True)):
+        if last * n > limit:
+            begins.append(k)
+        last = product
+    return [tokens[a:b] for a, b in zip(begins, [*begins[1:], len(tokens)], strict=True)]
 
 
 def serializations(token: dict) -> list[str]:
@@ -90,6 +93,64 @@ def candidates(group: list[dict]) -> Iterator[str]:
     return map("".join, itertools.product(*map(serializations, group)))
 
 
+def escaped(text: str) -> str:
+    return re.sub(r"([\\\[\]])", r"\\\1", text)
+
+
+def first_success(tagged: str, source: str, verbalize: Callable[[str], str], limit: int = 729) -> str:
+    """The tokens of ``tagged`` verbalized group by group, each in the first order that ``verbalize`` takes.
+
+    Where a group has no such order, or a token has a field without value, the answer is ``source`` with its marks escaped."""
+    said = []
+    groups = bounded_groups(parse(tagged), limit)
+    try:
+        for group in groups:
+            for order in candidates(group):
+                try:
+                    said.append(verbalize(order))
+                    break
+                except NoPathError:
+                    continue
+            else:
+                return escaped(source)
+    except ValueError:
+        return escaped(source)
+    return re.sub(" {2,}", " ", " ".join(said))
+
+
+def spoken_tokens(tagged: Column, source: Column, graph: Graph, limit: int = 729) -> Column:
+    """Struct of output and error: ``first_success`` by a verbalizing graph; texts that cannot be read are errors."""
+
+    @F.pandas_udf("struct<output:string,error:string>")
+    def run(texts: pd.Series, sources: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, s in zip(texts, sources, strict=True):
+            try:
+                rows.append((None if t is None else first_success(t, s or "", graph.rewrite, limit), None))
+            except ValueError as e:
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["output", "error"], dtype=object)
+
+    return run(tagged, source)
+
+
+class TokenRows:
+    """Table function: place, class and fields (as JSON) of each token of a text. A text that is no list of tokens fails the query."""
+
+    def eval(self, tagged: str) -> Iterator[tuple[int, str, str]]:
+        for k, token in enumerate(parse(tagged) if tagged is not None else []):
+            for name, fields in token["tokens"].items() if isinstance(token.get("tokens"), dict) else token.items():
+                yield k, name, json.dumps(fields, ensure_ascii=False)
+
+
+token_rows = F.udtf(TokenRows, returnType="place int, class string, fields string")
+
+
+def order_count(n_fields: Column) -> Column:
+    """Orders of a flat token with so many fields."""
+    return F.factorial(n_fields)
+
+
 def token_json(tagged: Column) -> Column:
     """Struct of the tokens as JSON and an error, of which one is null."""
 
