@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbaspark.functions import text as steps
-from verbaspark.operators import multilingual, spacing
+from verbaspark.operators import multilingual, spacing, tokens
 from verbaspark.runtime import ship
 
 _BOTH_CASES = {"ko", "hy"}
@@ -57,6 +57,12 @@ class Normalizer:
         return multilingual.normalize(df, F.lit(self.lang), column, out)
 
 
+def warm(locale: str | None = "en-US") -> None:
+    """Make a language's rules now, in this process, and check the locale. Workers make theirs once and keep them."""
+    code = language_of(locale)
+    multilingual.normalize_one("1", code)
+
+
 def normalize_text(text: object, locale: str | None = "en-US", return_spans: bool = False) -> object:
     """One value in spoken form; false and blank values come back as they are."""
     if return_spans:
@@ -84,7 +90,8 @@ def try_normalize(text: Column, locale: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions ``normalize_text(text, locale)``, ``detokenize(text, lang)`` and ``match_spaces(written, spoken)``.
+    """SQL functions ``normalize_text(text, locale)``, ``detokenize(text, lang)`` and ``match_spaces(written, spoken)``, and the
+    table function ``token_rows(tagged)``.
 
     An unknown locale fails the query."""
     ship(spark)
@@ -101,5 +108,6 @@ def register(spark: SparkSession) -> None:
     def match(written: pd.Series, said: pd.Series) -> pd.Series:
         return pd.Series([spacing.align_one(a, b) for a, b in zip(written, said, strict=True)], dtype=object)
 
+    spark.udtf.register("token_rows", tokens.token_rows)
     for name, f in (("normalize_text", spoken), ("detokenize", join), ("match_spaces", match)):
         spark.udf.register(name, f)

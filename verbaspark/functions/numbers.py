@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from verbaspark.functions.lexicon import EN_ORDINALS, EN_SCALES, under_1000
 
 
 def _word(form: str, group: Column) -> Column:
-    return F.element_at(F.lit(under_1000(form)), group.cast("int") + 1)
+    return _pick(under_1000(form), group)
 
 
 def _div(n: Column, by: int) -> Column:
@@ -41,14 +43,28 @@ def cardinal(n: Column, lang: str = "en", joined: bool = True) -> Column:
     return F.when((n <= last) & (n >= -last), words).when(n.isNotNull(), spelt)
 
 
+def _bound(value: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of a value that is computed once for each row, however often ``read`` uses it."""
+    return F.transform(F.array(value), read)[0]
+
+
 def _english(n: Column, joined: bool) -> Column:
-    text = F.lpad(F.replace(n.cast("string"), F.lit("-"), F.lit("")), 21, "0")  # the least long has no positive counterpart
-    g = [F.substring(text, 19 - 3 * k, 3).cast("int") for k in range(7)]
-    parts = [F.when(g[k] > 0, F.concat(_word("en", g[k]), F.lit(f" {EN_SCALES[k]}"))) for k in (6, 5, 4, 3, 2, 1)]
-    last = _word("en", g[0])
-    if joined:
-        last = F.when(g[0] >= 100, _word("en_and", g[0])).when(g[1] > 0, F.concat(F.lit("and "), last)).otherwise(last)
-    return _signed(n, "minus", "zero", F.concat_ws(" ", *parts, F.when(g[0] > 0, last)))
+    """One look-up for each group of three digits; the tables hold the scales and the spaces before."""
+    names = under_1000("en")
+    ends = under_1000("en_and") if joined else names
+    alone = ["", *(f" {w}" for w in ends[1:])]
+    behind = ["", *(f" and {w}" if joined else f" {w}" for w in names[1:100]), *alone[100:]]
+
+    def read(text: Column) -> Column:
+        g = [F.substring(text, 19 - 3 * k, 3).cast("int") for k in range(7)]
+        parts = [_pick(["", *(f" {w} {EN_SCALES[k]}" for w in names[1:])], g[k]) for k in range(6, 0, -1)]
+        last = _pick(alone + behind, g[0] + F.when(g[1] > 0, 1000).otherwise(0))
+        words = F.ltrim(F.concat(*parts, last))
+        return F.when(words == "", "zero").when(F.substring(text, 22, 1) == "-", F.concat(F.lit("minus "), words)).otherwise(words)
+
+    written = n.cast("string")  # as digits: the least long has no positive counterpart
+    padded = F.concat(F.lpad(F.replace(written, F.lit("-"), F.lit("")), 21, "0"), F.substring(written, 1, 1))
+    return F.when(n.isNotNull(), _bound(padded, read))
 
 
 def _western(n: Column, lang: str) -> Column:
@@ -147,11 +163,14 @@ def digits(text: Column, names: list[str] | None = None) -> Column:
 
 def ordinal(n: Column) -> Column:
     """English ordinal words."""
-    words = cardinal(n, "en", joined=False)
-    last = F.regexp_extract(words, r"(\S+)$", 1)
-    special = F.element_at(F.create_map(*[F.lit(x) for pair in EN_ORDINALS.items() for x in pair]), last)
-    ending = F.coalesce(special, F.when(last.endswith("y"), F.regexp_replace(last, "y$", "ieth")).otherwise(F.concat(last, F.lit("th"))))
-    return F.concat(F.regexp_replace(words, r"\S+$", ""), ending)
+    endings = F.create_map(*[F.lit(x) for pair in EN_ORDINALS.items() for x in pair])
+
+    def read(words: Column) -> Column:
+        last = F.substring_index(words, " ", -1)
+        ending = F.coalesce(F.try_element_at(endings, last), F.when(last.endswith("y"), F.regexp_replace(last, "y$", "ieth")).otherwise(F.concat(last, F.lit("th"))))
+        return F.concat(F.substring(words, F.lit(1), F.length(words) - F.length(last)), ending)
+
+    return F.when(n.isNotNull(), _bound(cardinal(n, "en", joined=False), read))
 
 
 def year(n: Column) -> Column:

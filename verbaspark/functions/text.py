@@ -27,6 +27,20 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(text, " {2,}", " ")
 
 
+def matches_ranges(char: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a text begins with a character of the code points' ranges, first and last."""
+    return char.rlike("^[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]")
+
+
+def currency(char: Column) -> Column:
+    """Whether a text begins with a currency sign."""
+    return char.rlike(r"^\p{Sc}")
+
+
+def letter(char: Column) -> Column:
+    return char.rlike(r"^\p{L}")
+
+
 def escape(text: Column) -> Column:
     """Backslash before backslash and square brackets."""
     return F.regexp_replace(text, r"([\\\[\]])", r"\\$1")

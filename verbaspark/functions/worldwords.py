@@ -75,7 +75,7 @@ def _hu(n: int) -> str:
     if n < 100:
         ten = {1: "tizen", 2: "huszon"}.get(n // 10, HU_TENS[n // 10]) if n % 10 else HU_TENS[n // 10]
         return ten + (HU_UNITS[n % 10] if n % 10 else "")
-    return ("" if n < 200 else HU_UNITS[n // 100]) + "száz" + (_hu(n % 100) if n % 100 else "")
+    return ("" if n < 200 else "két" if n < 300 else HU_UNITS[n // 100]) + "száz" + (_hu(n % 100) if n % 100 else "")
 
 
 def _hy(n: int) -> str:

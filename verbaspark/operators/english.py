@@ -39,7 +39,12 @@ STREETS = {"st": "Street", "ave": "Avenue", "ct": "Court", "expy": "Expressway",
 _NAMES = {".": "dot", "@": "at", "-": "dash", "_": "underscore", "/": "slash", ":": "colon", "&": "ampersand", "+": "plus", "=": "equals", "?": "question mark", "~": "tilde", "#": "hash", "%": "percent"}
 _SCALE_LETTERS = {"b": "billion", "m": "million", "k": "thousand", "t": "trillion"}
 _SCALE = r"(?:thousand|million|billion|trillion)"
-_UPPER_PARTS = {"www", "http", "https", "uk", "de", "fr", "it", "sm", "nvidia", "html", "us", "abc"}
+#: Protocols, formats and two-letter domains of countries, which are said letter by letter.
+_LETTERED = {"www", "http", "https", "ftp", "html"}
+#: Operators and symbols alone; each mark of a run is said.
+_OPERATORS = {"+": "plus", "-": "minus", "=": "equals", "*": "asterisk"}
+_ALONE = {"$": "dollar", "€": "euro", "₩": "won", "£": "pound", "¥": "yen", "#": "hash", "%": "percent", "&": "and", "@": "at", "/": "slash"}
+_SYMBOLS = {"#": "hash", "@": "at", "$": "dollar", "+": "plus"}
 
 
 def _groups(n: int) -> list[int]:
@@ -151,17 +156,29 @@ def clock(hour: str, minute: str, half: str = "", zone: str = "") -> str:
 
 
 def electronic(text: str) -> str:
+    """Names of the marks, digits one by one; parts said letter by letter are written in capitals: ``_LETTERED`` ones, and the last part of a
+    host's name where it has two letters."""
+    host = re.search(r"(?:^|@|//)[^/@]*\.([A-Za-z]{2})(?=$|[/:?])", text)
     out = []
-    for part in re.findall(r"[A-Za-z]+|\d|[^A-Za-z\d]", text):
+    for m in re.finditer(r"[A-Za-z]+|\d|[^A-Za-z\d]", text):
+        part = m[0]
         if part.isdigit():
             out.append(spell(part))
         elif part.isalpha():
-            out.append(part.upper() if part.lower() in _UPPER_PARTS else part)
+            out.append(part.upper() if part.lower() in _LETTERED or host and m.start() == host.start(1) else part)
         else:
             out.append(_NAMES.get(part, part))
     return " ".join(out)
 
 
+def math(text: str) -> str:
+    return " ".join(_OPERATORS.get(p) or (cardinal(int(p), False) if p.isdigit() else p) for p in re.findall(r"\d+|[A-Za-z]+|[+\-=*]", text))
+
+
+def symbols(text: str) -> str:
+    return " ".join(_SYMBOLS[c] for c in text)
+
+
 def phone(country: str, *blocks: str) -> str:
     said = [("eight hundred" if b == "800" else spell(b)) for b in blocks if b]
     return ", ".join([f"plus {spell(country)}"] * bool(country) + said)
@@ -197,6 +214,9 @@ def _money_span(m: re.Match) -> str:
 #: Class, pattern, reading; the first that matches at a place wins.
 RULES: list[tuple[str, str, object]] = [
     ("markup", r"<[^<>\s][^<>]*>", lambda m: m[0]),
+    ("markup", r"\[(?=[^\[\]]*[A-Z]{2}[012]?[ \]])[A-Z012 ]+\]", lambda m: m[0]),
+    ("math", r"(?<![\w.,=+\-*/])(?:[a-z]|\d{1,4})(?: ?[+\-*] ?(?:[a-z]|\d{1,4}))* ?= ?(?:[a-z]|\d{1,4})(?: ?[+\-*] ?(?:[a-z]|\d{1,4}))*(?![\w.,=]\w|\w)", lambda m: math(m[0])),
+    ("math", r"(?<![\w.,])\d+\*\d+(?![\w.,*])", lambda m: math(m[0])),
     ("url", r"\b(?:https?|ftp|file)://\S*[\w/]|\bwww\.[\w.\-/]*\w", lambda m: electronic(m[0])),
     ("email", r"(?<![\w.])[\w.+\-&]+@[A-Za-z\d\-]+(?:\.[A-Za-z\d\-]+)+(?:/[\w\-/]*)?", lambda m: electronic(m[0])),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]\d)", lambda m: electronic(m[0])),
@@ -239,7 +259,13 @@ RULES: list[tuple[str, str, object]] = [
     ("cardinal", rf"(?<![\w.\-])(?P<cn>-(?={_NUM}))?(?P<cc>{_NUM})(?!\w)", lambda m: ("minus " if m["cn"] else "") + integer(m["cc"])),
     ("serial", r"(?<![\w])(?=\w*\d)(?=\w*[A-Za-z])[A-Za-z\d]+(?!\w)", lambda m: _serial(m[0])),
     ("cardinal", r"(?<=[A-Za-z\d]-)(?P<ce>\d+)(?!\w)", lambda m: integer(m["ce"], False)),
-    ("symbol", r"(?<=\w)(?P<sa> ?)&(?P<sb> ?)(?=\w)", lambda m: f" and "),
+    ("symbol", r"(?<=\w)(?P<sa> ?)&(?P<sb> ?)(?=\w)", lambda m: " and "),
+    ("whitelist", r"(?<![\w.])(?:[A-Z]\.){3,}", lambda m: m[0].replace(".", "")),
+    ("symbol", r"(?<!\S)(?P<sh>[$€₩£¥#%&@/])(?!\S)", lambda m: _ALONE[m["sh"]]),
+    ("symbol", r"(?<![^\s(\"'])(?P<sc>[@#])(?=[A-Za-z]{2})", lambda m: symbols(m["sc"]) + " "),
+    ("symbol", r"(?<=[A-Za-z])(?P<sd>[#$]+|\+\+)(?=[A-Za-z])", lambda m: f" {symbols(m['sd'])} "),
+    ("symbol", r"(?<=[A-Za-z])(?P<se>[#$]+|\+\+)(?=[\s.,;:!?]|$)", lambda m: f" {symbols(m['se'])}"),
+    ("symbol", r"(?<=[a-z]{3})(?P<sf> ?)/(?P<sg> ?)(?=[a-z]{3})", lambda m: " slash "),
 ]
 
 
@@ -265,11 +291,11 @@ _ALL = re.compile("|".join(f"(?P<rule{k}>{pattern})" for k, (_, pattern, _) in e
 _WORD_STARTS = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
 #: Where a span can begin at all: other places need not try the rules.
 _BEGIN = re.compile(
-    r"[\d<$£€¥₩_]|[^\x00-\x7f]|[.+\-](?=[\w.+\-&@])|\((?=\d)|'(?=\d)| ?&|(?<![A-Za-z\d])(?=[\w+\-]*[\d@._$:&+\-])[A-Za-z]"
+    r"[\d<\[$£€¥₩_#@/%]|(?<![\w.])[A-Z]\.[A-Z]|[^\x00-\x7f]| /|[.+\-](?=[\w.+\-&@])|\((?=\d)|'(?=\d)| ?&|(?<![A-Za-z\d])(?=[\w+\-]*[\d@._$:&+\-=])[A-Za-z]|(?<![A-Za-z\d])[a-z](?= [=+\-*] ?\w)|\+\+"
     rf"|\b(?i:(?:{_WORD_STARTS})\.?[ \-]\d|the \d|(?:chapter|part|section|volume|act) [ivxl])"
 )
-#: A text that this does not match has no span (Java and Python syntax).
-TRIGGER = r"[0-9@&<]|://|www\.|\w\.(?:com|org|net|edu|uk|de|fr|it)\b|(?:Dr|Mr|Mrs|Ms)\. |(?i:chapter|part|section|volume|act) [IVXL]|\w_\w"
+#: A text that this does not match has no span (Java syntax).
+TRIGGER = r"[\p{Nd}@&<=_#$%€₩£¥]|``|[A-Z]\.[A-Z]\.|(?:^|\s)/(?:\s|$)|\+\+|[a-z] ?/ ?[a-z]|://|www\.|[A-Za-z0-9\-]\.(?:com|org|net|edu|uk|de|fr|it)|(?:Dr|Mr|Mrs|Ms)\. |(?iu:chapter|part|section|volume|act) [IVXLivxl]"
 
 
 def spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -290,7 +316,7 @@ def normalize_one(text: str | None) -> str | None:
     """Spoken form of one text; null, empty and blank texts stay."""
     if not text or not text.strip():
         return text
-    text = text.replace("\x00", "")
+    text = (text.replace("\x00", "") or text).replace("``", '"')
     out, done = [], 0
     for a, b, _, said in spans(text):
         out += [text[done:a], said]
@@ -310,6 +336,6 @@ def normalize(df: DataFrame, column: str = "text", out: str = "spoken") -> DataF
 
 
 def _plain(text: Column) -> Column:
-    from verbaspark.functions.text import strip
+    from verbaspark.functions.text import drop_nul, strip
 
-    return F.when(strip(text) == "", text).otherwise(strip(F.replace(text, F.lit("\x00"), F.lit(""))))
+    return F.when(strip(text) == "", text).otherwise(strip(drop_nul(text)))

@@ -158,6 +158,90 @@ _AR_PARTS = "_ واحد|نصف نصفان|ثلث أثلاث|ربع أرباع|خ
 _AR_PLACES = ("", "عشرة", "مئة", "ألف", "عشرة آلاف", "مئة ألف", "مليون")
 
 
+# Ordinals, month names and letters of the languages whose written forms have them.
+_HU_ORDINALS = "nulladik első második harmadik negyedik ötödik hatodik hetedik nyolcadik kilencedik tizedik".split()
+_HU_ORDINAL_TENS = "_ tizedik huszadik harmincadik negyvenedik ötvenedik hatvanadik hetvenedik nyolcvanadik kilencvenedik".split()
+_HU_MONTHS = "január február március április május június július augusztus szeptember október november december".split()
+_HU_FORINT = {"": "forint", "-ba": "forintba", "-ot": "forintot", "-ért": "forintért", "-tal": "forinttal"}
+_HY_ORDINALS = {1: "առաջին", 2: "երկրորդ", 3: "երրորդ", 4: "չորրորդ"}
+_RU_HOURS = "первого второго третьего четвертого пятого шестого седьмого восьмого девятого десятого одиннадцатого двенадцатого".split()
+_RU_UNITS = {"кг": "килограмм килограмма килограммов", "г": "грамм грамма граммов", "мг": "миллиграмм миллиграмма миллиграммов", "км": "километр километра километров", "м": "метр метра метров", "см": "сантиметр сантиметра сантиметров", "мм": "миллиметр миллиметра миллиметров", "л": "литр литра литров", "мл": "миллилитр миллилитра миллилитров", "₽": "рубль рубля рублей"}
+_HI_LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "ए बी सी डी ई एफ जी एच आई जे के एल एम एन ओ पी क्यू आर एस टी यू वी डब्ल्यू एक्स वाई ज़ेड".split(), strict=True))
+_HI_MARKS = {":": "कोलन", "/": "फॉरवर्ड स्लैश", ".": "डॉट", "@": "एट", "-": "हाइफ़न", "_": "अंडरस्कोर"}
+_HI_DOMAINS = {"com": "कॉम", "in": "इन", "org": "ऑर्ग", "net": "नेट"}
+_HU_MARKS = {":": "kettőspont", "/": "perjel", ".": "pont", "@": "kukac", "-": "kötőjel", "_": "aláhúzás"}
+
+
+def _hu_ordinal(n: int) -> str:
+    low = n % 100
+    if low <= 10 and (low or not n):
+        last = _HU_ORDINALS[low] if low > 2 or n < 10 else {1: "egyedik", 2: "kettedik"}[low]
+        return (say(n - low, "hu") if n > low else "") + last
+    if low and low % 10 == 0:
+        return (say(n - low, "hu") if n > low else "") + _HU_ORDINAL_TENS[low // 10]
+    if not low:
+        return say(n, "hu") + "adik"
+    return (say(n - low, "hu") if n > low else "") + {1: "tizen", 2: "huszon"}.get(low // 10, world.HU_TENS[low // 10]) + {1: "egyedik", 2: "kettedik"}.get(low % 10, _HU_ORDINALS[low % 10])
+
+
+def _hu_day(day: str, end: str) -> str:
+    """A day of the month, which one falls on with -n, and which it is with none."""
+    d = int(day)
+    said = "elseje" if d == 1 else _hu_ordinal(d) + ("a" if re.search("[aáoóuú][^eéiíöőüű]*$", _hu_ordinal(d)[:-3]) else "e")
+    return said[:-1] + {"a": "á", "e": "é"}[said[-1]] + "n" if end else said
+
+
+def _hu_letters(text: str) -> str:
+    parts = re.findall(r"(?<=\.)(?:com|org|net|hu|eu)(?![\w])|\d|[^\W\d_]|[:/.@\-_]", text)
+    return " ".join(_HU_MARKS.get(p) or (say(int(p), "hu") if p.isdigit() else p.lower()) for p in parts)
+
+
+def _hi_letters(text: str) -> str:
+    parts = re.findall(r"(?<=\.)(?:com|in|org|net)(?!\w)|[A-Za-z]|\d|[:/.@\-_]", text)
+    return " ".join(_HI_DOMAINS.get(p) or _HI_MARKS.get(p) or (say(int(p), "hi") if p.isdigit() else _HI_LETTERS[p.lower()]) for p in parts)
+
+
+def _hi_clock(hour: str, minute: str) -> str:
+    h, m = int(hour), int(minute)
+    if not m:
+        return say(h, "hi")
+    if m == 45 and h <= 12:
+        return f"पौने {say(h % 12 + 1, 'hi')}"
+    if m in (15, 30) and h <= 12:
+        return {1: "डेढ़", 2: "ढाई"}.get(h, f"साढ़े {say(h, 'hi')}") if m == 30 else f"सवा {say(h, 'hi')}"
+    return f"{say(h, 'hi')} बजकर {say(m, 'hi')} मिनट"
+
+
+def _ru_counted(n: int, forms: str, feminine: bool = False) -> str:
+    return f"{world._ru(n % 1000, feminine) if n < 1000 else say(n, 'ru')} {world._slavic(n, *forms.split())}"
+
+
+def _ru_clock(hour: str, minute: str) -> str:
+    h, m = int(hour), int(minute)
+    if m == 30 and 0 < h < 13:
+        return f"тридцать минут {_RU_HOURS[h % 12]}"
+    if m == 45:
+        return f"без пятнадцати минут {say((h + 1) % 12 or 12, 'ru')}"
+    minutes = _ru_counted(m, "минута минуты минут", True)
+    return f"{_ru_counted(h, 'час часа часов')} {minutes}"
+
+
+def _ru_measure(amount: str, unit: str) -> str:
+    forms = _RU_UNITS[unit]
+    if "," in amount:
+        return f"{number(amount, 'ru')} {forms.split()[1]}"
+    return _ru_counted(int(re.sub(r"\D", "", amount)), forms)
+
+
+def _ko_count(n: int) -> str:
+    """Native words of a count below 100, before a noun."""
+    return "스무" if n == 20 else (_KO_NATIVE_TENS[n // 10] if n > 9 else "") + (_KO_NATIVE[n % 10] if n % 10 else "")
+
+
+def _ko_hour(hour: str) -> str:
+    return _ko_count(int(hour)) if 0 < int(hour) < 13 else say(int(hour), "ko")
+
+
 def _ru_ordinal(n: int, ending: str) -> str:
     """Russian ordinal with the ending that stands behind the digits."""
     low = n % 100
@@ -418,7 +502,7 @@ def _rules(lang: str) -> tuple[re.Pattern, list]:
     rules: list[tuple[str, str, object]] = []
     add = lambda kind, pattern, read: rules.append((kind, pattern, read))
     address = r"https?://[\w./\-]*\w|www\.[\w./\-]*\w|[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+"
-    add("electronic", f"({address})", (lambda g: electronic(g[0], lang)) if v.names else (lambda g: g[0]))
+    add("electronic", f"({address})", (lambda g: electronic(g[0], lang)) if v.names else {"hu": lambda g: _hu_letters(g[0]), "hi": lambda g: _hi_letters(g[0])}.get(lang, lambda g: g[0]))
     if v.whitelist:
         add("whitelist", rf"(?<!\w)({'|'.join(re.escape(k) for k in v.whitelist)})(?=\s)", lambda g: v.whitelist[g[0]])
     if v.names:
@@ -456,9 +540,38 @@ def _rules(lang: str) -> tuple[re.Pattern, list]:
     if fraction("1", "2", lang):
         add("fraction", rf"{begin}(\d+)/([1-9]\d*)" + (r"(?![\w/])" if word else r"(?![\d/])"), lambda g: fraction(g[0], g[1], lang))
     if lang == "ko":
+        add("time", begin + r"([01]?\d|2[0-4]):([0-5]\d)(?::([0-5]\d))?(?![\d:])", lambda g: _ko_hour(g[0]) + "시" + (f" {say(int(g[1]), 'ko')}{'분' if int(g[1]) else ''}" if int(g[1]) else "") + (f" {say(int(g[2]), 'ko')}초" if g[2] else "") + " ")
+        add("time", begin + r"([01]?\d|2[0-4])시(?: ([0-5]?\d)분)?(?=[가-힣]?)", lambda g: _ko_hour(g[0]) + "시" + (f" {say(int(g[1]), 'ko')}분" if g[1] else "") + " ")
+        add("date", begin + r"(\d{4})년 (\d{1,2})월 (\d{1,2})일", lambda g: f"{say(int(g[0]), 'ko')}년 {({6: '유', 10: '시'}.get(int(g[1])) or say(int(g[1]), 'ko'))}월 {say(int(g[2]), 'ko')} 일")
+        add("date", begin + r"(\d{1,2})월 (\d{1,2})일", lambda g: f"{({6: '유', 10: '시'}.get(int(g[0])) or say(int(g[0]), 'ko'))}월 {say(int(g[1]), 'ko')} 일")
+        add("money", rf"{begin}(\d{{1,3}}(?:,\d{{3}})+)원(?=[가-힣])", lambda g: number(g[0], "ko") + "원 ")
+        add("count", begin + r"([1-9])(장|명|권|잔)(?![가-힣]월)", lambda g: _ko_count(int(g[0])) + g[1])
         add("ordinal", r"(?<!\d)([1-9]\d?)번째", lambda g: (("첫" if g[0] == "1" else ("스무" if g[0] == "20" else (_KO_NATIVE_TENS[int(g[0]) // 10] if len(g[0]) > 1 else "") + (_KO_NATIVE[int(g[0]) % 10] if int(g[0]) % 10 else "")))) + "번째")
         add("number", rf"{begin}({num})(?=[가-힣A-Za-z℃°]|입)", lambda g: number(g[0], "ko") + " ")
+    if lang == "hu":
+        months = "|".join(_HU_MONTHS)
+        add("date", begin + rf"(?:(\d{{4}})\. )?((?i:{months})) (\d{{1,2}})(?:-(?:j?[eéáa]n)|(\.))(?!\w)", lambda g: (say(int(g[0]), "hu") + " " if g[0] else "") + f"{g[1]} {_hu_day(g[2], '' if g[3] else 'n')}")
+        add("date", begin + rf"(\d{{4}})\. ((?i:{months}))", lambda g: f"{say(int(g[0]), 'hu')} {g[1]}")
+        add("date", begin + r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?!\w)", lambda g: f"{say(int(g[0]), 'hu')} {_HU_MONTHS[int(g[1]) - 1]} {_hu_day(g[2], '')}")
+        add("time", begin + r"(\d{1,2}):([0-5]\d):([0-5]\d)(?![\w:])", lambda g: " ".join(f"{say(int(x), 'hu')} {name}" for x, name in zip(g, ("óra", "perc", "másodperc"), strict=True)))
+        add("money", rf"{begin}({whole}) Ft(-ba|-ot|-ért|-tal|)(?!\w)", lambda g: f"{number(g[0], 'hu')} {_HU_FORINT[g[1] or '']}")
+        add("fraction", begin + r"(\d+)/(2|3|4|[5-9]|10)(?![\w/])", lambda g: f"{say(int(g[0]), 'hu')} {({2: 'fél', 3: 'harmad', 4: 'negyed', 5: 'ötöd', 6: 'hatod', 7: 'heted', 8: 'nyolcad', 9: 'kilenced', 10: 'tized'}[int(g[1])])}")
+        add("ordinal", begin + r"(\d{1,3})\.(?= [a-zäáéíóöőúüű])", lambda g: _hu_ordinal(int(g[0])))
+        add("version", r"(?<![\w.])(\d+(?:\.\d+){2,})(?![\w.]?\d)", lambda g: " pont ".join(say(int(p), "hu") for p in g[0].split(".")))
+    if lang == "hy":
+        add("kept", begin + r"(\d+(?:[.:\-]\d+)+(?:-[^\W\d_]+)?|\d+-ին|-?\d+,\d+(?: ?%)?|(?<=\[)\d+(?=\]))(?!\w)", lambda g: g[0])
+        add("ordinal", begin + r"(\d{1,6})-?րդ(?!\w)", lambda g: _HY_ORDINALS.get(int(g[0])) or say(int(g[0]), "hy") + "երորդ")
+        add("fraction", begin + r"(\d+)/([2-9]|10)(?![\w/])", lambda g: f"{say(int(g[0]), 'hy')} {_HY_ORDINALS.get(int(g[1])) or say(int(g[1]), 'hy') + 'երորդ'}")
+    if lang == "hi":
+        add("time", begin + r"([01]?\d|2[0-3]):([0-5]\d)(?![\w:])", lambda g: _hi_clock(g[0], g[1]))
+        add("version", r"(?<![\w.])(\d+(?:\.\d+){3})(?![\w.]?\d)", lambda g: " डॉट ".join(spell(p, "hi") for p in g[0].split(".")))
+        add("telephone", begin + r"([6-9]\d{9})(?!\w)", lambda g: spell("0" + g[0], "hi"))
+        add("year", begin + r"(1[1-9]\d\d)(?= से| तक| में| का| की| ई)", lambda g: f"{say(int(g[0][:2]), 'hi')} सौ" + (f" {say(int(g[0][2:]), 'hi')}" if int(g[0][2:]) else ""))
+        add("serial", r"(?<![\w.])([A-Z]{1,4}\d{2,6})(?!\w)", lambda g: _hi_letters(g[0]))
     if lang == "ru":
+        add("time", begin + r"([01]?\d|2[0-3]):([0-5]\d)(?![\w:])", lambda g: _ru_clock(g[0], g[1]))
+        add("measure", rf"{begin}({whole}(?:,\d+)?) ?({'|'.join(sorted(_RU_UNITS, key=len, reverse=True))})(?![\w/])", lambda g: _ru_measure(g[0], g[1]))
+        add("version", r"(?<![\w.])(\d+(?:\.\d+){2,}|\d+:\d+:\d+)(?![\w.]?\d)", lambda g: g[0])
         add("ordinal", begin + r"(\d{1,6})-?(го|му|й|я|е|м|х|ю)(?!\w)", lambda g: _ru_ordinal(int(g[0]), g[1]))
     if lang == "hi":
         add("ordinal", begin + r"(\d+) ?व?([ा-ौ]ं?|ां|ीं|ें)(?!\w)", lambda g: _hi_ordinal(int(g[0]), g[1]))
@@ -489,7 +602,7 @@ def _rules(lang: str) -> tuple[re.Pattern, list]:
     if lang == "es":
         add("un", begin + r"(1) (millón|billón)", lambda g: f"un {g[1]}")
     if lang in ("fr", "pt"):
-        add("un", begin + r"(1) (million|milliard|billion|milhão|bilhão)", lambda g: f"un{'m' * 0} {g[1]}" if lang == "fr" else f"um {g[1]}")
+        add("un", begin + r"(1) (million|milliard|billion|milhão|bilhão)", lambda g: f"un {g[1]}" if lang == "fr" else f"um {g[1]}")
     if lang == "sv":
         add("un", begin + r"(1) (miljon|miljard)", lambda g: f"en {g[1]}")
     add("number", rf"{begin}({num})" + (end if word else r"(?!\d)"), lambda g: number(g[0], lang))
@@ -509,7 +622,7 @@ def normalize_one(text: str | None, lang: str) -> str | None:
     """Spoken form of one text; null, empty and blank texts stay."""
     if lang == "en" or not text or not text.strip():
         return english.normalize_one(text)
-    text = text.replace("\x00", "")
+    text = text.replace("\x00", "") or text
     if lang == "hi":
         text = text.translate(_NATIVE)
     pattern, rules = _rules(lang)

@@ -146,6 +146,26 @@ class TokenRows:
 token_rows = F.udtf(TokenRows, returnType="place int, class string, fields string")
 
 
+def group_sizes(tagged: Column, limit: int = 729) -> Column:
+    """How many tokens each bounded group has."""
+
+    @F.pandas_udf("array<int>")
+    def sizes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [len(g) for g in bounded_groups(parse(t), limit)], na_action="ignore")
+
+    return sizes(tagged)
+
+
+def orderings(tagged: Column) -> Column:
+    """Every serialization of all tokens of a text, in the order that the search tries them."""
+
+    @F.pandas_udf("array<string>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(candidates(parse(t))), na_action="ignore")
+
+    return listed(tagged)
+
+
 def order_count(n_fields: Column) -> Column:
     """Orders of a flat token with so many fields."""
     return F.factorial(n_fields)

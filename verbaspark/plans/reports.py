@@ -31,6 +31,17 @@ def summary(cases: DataFrame) -> DataFrame:
     )
 
 
+def speedups(runs: DataFrame, key: str, engine: str, seconds: str, base: str, other: str) -> DataFrame:
+    """By ``key``: the median ``seconds`` of two engines, and how many times faster the other is."""
+    medians = runs.groupBy(key).agg(*[F.percentile(F.when(F.col(engine) == e, F.col(seconds)), 0.5).alias(name) for e, name in ((base, "base_median"), (other, "other_median"))])
+    return medians.withColumn("speedup", F.try_divide("base_median", "other_median"))
+
+
+def membership(output: Column, expected: Column) -> Column:
+    """Whether an output is one of several readings that may be expected."""
+    return F.coalesce(F.array_contains(expected, output), F.lit(False))
+
+
 def compare(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows of two runs whose values differ or that one run lacks."""
     a, b = left.select(*keys, F.col(value).alias("left")), right.select(*keys, F.col(value).alias("right"))

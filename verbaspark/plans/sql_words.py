@@ -146,3 +146,24 @@ def wider_cardinal(lang: str, n: str) -> str:
         lakh, g1 = f"({n} // 100000)", f"({n} // 1000 % 100)"
         high = f"concat_ws(' ', CASE WHEN {lakh} > 0 THEN {_low('hi', lakh)} || ' लाख' END, CASE WHEN {g1} > 0 THEN {_thousands('hi', g1)} END)"
     return f"CASE WHEN {n} = 0 THEN '{world.TONGUES[lang].zero}' WHEN {n} < 1000 THEN {last} WHEN {g0} = 0 THEN {high} ELSE {high} || {glue} || {last} END"
+
+
+def kinyarwanda(n: str) -> str:
+    """SQL for 0 to 9,999, from the small lists."""
+    units, tens, hundreds = world.RW_UNITS, world.RW_TENS, world.RW_HUNDREDS
+    pick = lambda names, at: f"{_list(names)}[CAST({at} AS BIGINT) + 1]"
+    na = lambda word: f"CASE WHEN left({word}, 1) IN ('i', 'e', 'u') THEN ' n''' ELSE ' na ' END || {word}"
+
+    def below_100(g: str, alone: str) -> str:
+        ten = f"CASE WHEN {g} = 10 THEN '{alone}' WHEN {g} < 20 THEN 'cumi' ELSE {pick(tens, f'({g} // 10)')} END"
+        return f"CASE WHEN {g} < 10 THEN {pick(units, g)} ELSE {ten} || CASE WHEN {g} % 10 > 0 THEN {na(pick(units, f'({g} % 10)'))} ELSE '' END END"
+
+    low = f"({n} % 100)"
+    g = f"({n} % 1000)"
+    head = f"CASE WHEN {g} // 100 = 9 AND {low} > 0 THEN 'magana cyenda' ELSE {pick(hundreds, f'({g} // 100)')} END"
+    plain = below_100(low, "icumi")
+    tail = f"CASE WHEN {low} = 0 THEN '' WHEN {low} BETWEEN 11 AND 19 THEN ' na ' || {below_100(low, 'cumi')} ELSE {na(f'({plain})')} END"
+    below_1000 = f"CASE WHEN {g} < 100 THEN {plain} ELSE {head} || {tail} END"
+    thousand = f"CASE WHEN {n} < 2000 THEN 'igihumbi' ELSE 'ibihumbi ' || {pick(world.RW_THOUSANDS, f'({n} // 1000)')} END"
+    joint = f"CASE WHEN {g} IN (9, 10) OR {g} // 100 = 1 THEN ' n''' ELSE ' na ' END"
+    return f"CASE WHEN {n} < 1000 THEN {below_1000} WHEN {g} = 0 THEN {thousand} ELSE {thousand} || {joint} || {below_1000} END"

@@ -31,13 +31,13 @@ def cases(spark: SparkSession, path: str, answer_first: bool = False) -> DataFra
     n = F.size("parts")
     written = F.element_at("parts", -1) if answer_first else F.col("parts")[0]
     spoken = F.slice("parts", F.lit(1), n - 1) if answer_first else F.slice("parts", F.lit(2), n - 1)
-    return df.select("file", written.alias("input"), F.transform(spoken, F.trim).alias("expected"))
+    return df.select("file", written.alias("input"), F.transform(spoken, lambda x: F.trim(x)).alias("expected"))
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of a ``~written`` line and one answer a line."""
-    whole = _file(spark.read.text(path, wholetext=True))
-    block = whole.select("file", F.posexplode(F.split("value", r"(?m)^~")).alias("place", "block")).where("place > 0")
+    """Blocks of a ``~written`` line and one answer a line; ``place`` grows along a file. Blocks are parted while reading, so a file can be split."""
+    whole = _file(spark.read.option("lineSep", "\n~").text(path))
+    block = whole.select("file", F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^~", "").alias("block"))
     rows = F.filter(F.split("block", r"\r?\n"), lambda x: F.trim(x) != "")
     return block.withColumn("rows", rows).where(F.size("rows") > 0).select("file", "place", F.col("rows")[0].alias("input"), F.slice("rows", F.lit(2), F.size("rows")).alias("expected"))
 
@@ -47,5 +47,17 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SNAPSHOT).json(path, multiLine=True).select(F.inline("cases"))
 
 
+def write_snapshot(cases: DataFrame, path: str, most: int = 1000) -> None:
+    """JSON documents, one a file, each with at most ``most`` cases of one language."""
+    place = F.monotonically_increasing_id()
+    blocks = cases.withColumn("block", F.call_function("div", place, F.lit(most)))
+    documents = blocks.groupBy("lang", "block").agg(F.collect_list(F.struct(*cases.columns)).alias("cases")).drop("block")
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.json(path)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
