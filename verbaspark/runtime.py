@@ -7,11 +7,17 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
 _made: list[str] = []
+#: The folders made within the innermost ``scratch`` of this thread, by the name of each table.
+_scope: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("scope", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,13 +54,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.append((path, out))
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized inside are deleted at the end, but for those given to the function that this yields.
+
+    For steps whose results are written by then; nothing that is read later may still need a deleted table."""
+    scope: list[tuple[str, DataFrame]] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    token = _scope.set(scope)
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        outer = _scope.get()
+        for path, df in scope:
+            if any(df is k for k in kept):
+                if outer is not None:
+                    outer.append((path, df))
+            else:
+                _delete(spark, path.rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables made so far; call it once the results that read them are written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Delete all tables made in this process that are left; call it once no result is read any more that needs one."""
+    for folder in list(_made):
+        _delete(spark, folder)
