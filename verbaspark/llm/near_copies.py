@@ -13,7 +13,7 @@ Rows: null text counts as empty; texts without words are copies of one another;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from verbaspark.llm.components import components
 from verbaspark.llm.encoding import flat_text
 from verbaspark.llm.op9_simhash import near_duplicates
 from verbaspark.llm.tables import chunks, map_arrow
-from verbaspark.runtime import materialize
+from verbaspark.runtime import materialize, scratch
 
 SIZE = 5
 BANDS, ROWS, TURNS = 24, 5, 3
@@ -171,8 +171,13 @@ def _open(held: DataFrame) -> DataFrame:
 def first_rows(rows: DataFrame) -> DataFrame:
     """``row`` of one row for each group of near-duplicates: the smallest doc_id, nulls last, then the smallest row.
 
-    ``rows`` has row (a different long for each), doc_id and text, and reads alike each time.
+    ``rows`` has row (a different long for each), doc_id and text, and reads alike each time. What is written on the way is deleted.
     """
+    with scratch(rows.sparkSession) as keep:
+        return _first_rows(rows, keep)
+
+
+def _first_rows(rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     made = materialize(signatures(rows), "signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     ranked = made.select("row", "digest").join(rows.select("row", "doc_id"), "row")
@@ -199,6 +204,6 @@ def first_rows(rows: DataFrame) -> DataFrame:
             held = led.where("row != other").join(known, "row", "left").select("row", "bucket", F.coalesce("root", "row").alias("part"))
             held = materialize(_open(held), "buckets")
     if stars is None:
-        return nodes.select("row")
+        return keep(materialize(nodes.select("row"), "first"))
     joined = nodes.join(stars.select(F.col("u").alias("row"), F.col("v").alias("root")), "row", "left")
-    return joined.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("rank").alias("rank")).select("rank.row")
+    return keep(materialize(joined.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("rank").alias("rank")).select("rank.row"), "first"))
