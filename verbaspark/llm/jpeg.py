@@ -200,7 +200,8 @@ def _scan(image: Image, body: bytes, pieces: list[bytes], tables: dict[int, byte
     if n == 1:
         c = parts[0][0]
         rows, cols = c.shown
-        blocks = c.blocks[:rows, :cols].reshape(-1, 64)  # a copy
+        whole = cols == c.blocks.shape[1]
+        blocks = c.blocks[:rows].reshape(-1, 64) if whole else c.blocks[:rows, :cols].reshape(-1, 64)  # a view, or a copy
         order = None
         units = rows * cols
     else:
@@ -217,7 +218,7 @@ def _scan(image: Image, body: bytes, pieces: list[bytes], tables: dict[int, byte
             _dc(reader, [(blocks[:, 0], np.arange(start, end), 1, parts[0][1])], end - start, high, low)
         else:
             _dc(reader, [(c.blocks.reshape(-1, 64)[:, 0], o[start * m : end * m], m, t) for (c, t, _), o, m in zip(parts, order, counts, strict=True)], end - start, high, low)
-    if n == 1:
+    if n == 1 and not whole:
         parts[0][0].blocks[:rows, :cols] = blocks.reshape(rows, cols, 64)
 
 
@@ -287,6 +288,10 @@ def _ac_first(reader: Bits, blocks: np.ndarray, first: int, last: int, low: int,
 
 def _correct(reader: Bits, part: np.ndarray, low: int) -> None:
     """One correction bit for each coefficient that is not zero."""
+    if part.size and part.all():
+        more = reader.many(part.size).reshape(part.shape).astype(bool) & ((part & (1 << low)) == 0)
+        part += np.where(part > 0, 1 << low, -(1 << low)) * more
+        return
     at = np.nonzero(part)
     if not len(at[0]):
         return
