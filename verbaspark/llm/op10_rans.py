@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -178,7 +177,7 @@ def write_container(tokens: DataFrame, path: str) -> None:
     """The container below ``path``: ``frequencies``, and ``blocks`` with the file each lies in and the ids before it there."""
     spark, freq = tokens.sparkSession, quantized(id_counts(tokens))
     crc = zlib.crc32(freq.astype("<i8"))
-    spark.createDataFrame(pd.DataFrame({"id": np.arange(len(freq)), "freq": freq, "crc": crc})).coalesce(1).write.parquet(f"{path}/frequencies")
+    spark.createDataFrame(pa.table({"id": np.arange(len(freq)), "freq": freq, "crc": np.full(len(freq), crc)})).coalesce(1).write.parquet(f"{path}/frequencies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file, first = Coder(freq), TaskContext.get().partitionId(), 0
@@ -211,9 +210,9 @@ def write_container(tokens: DataFrame, path: str) -> None:
 
 def read_frequencies(spark: SparkSession, path: str) -> np.ndarray:
     """The container's table, a row for each id of the vocabulary; raises where it does not match its checksum."""
-    rows = spark.read.schema("id long, freq long, crc long").parquet(f"{path}/frequencies").orderBy("id").collect()
-    freq = np.array([r.freq for r in rows], np.int64)
-    if [r.id for r in rows] != list(range(len(rows))) or any(r.crc != zlib.crc32(freq.astype("<i8")) for r in rows):
+    rows = spark.read.schema("id long, freq long, crc long").parquet(f"{path}/frequencies").toArrow().sort_by("id")
+    ids, freq, crc = (rows.column(c).to_numpy() for c in ("id", "freq", "crc"))
+    if (ids != np.arange(len(ids))).any() or (crc != zlib.crc32(freq.astype("<i8"))).any():
         raise ValueError("the table of frequencies is damaged")
     return freq
 

@@ -20,7 +20,7 @@ one after another; an empty table gives an empty result; other columns, whatever
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,7 +85,7 @@ def assign(docs: DataFrame, shards: int = 24, nodes: int = 256) -> DataFrame:
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     # The arc of a cell: a lookup in one table of all cells, whose size follows from shards and nodes alone.
     arc_of = np.searchsorted(cells, np.arange(size)) % len(cells)
-    arcs = spark.createDataFrame(pd.DataFrame({"cell": np.arange(size, dtype=np.int32), "arc": arc_of.astype(np.int32)}))
+    arcs = spark.createDataFrame(pa.table({"cell": np.arange(size, dtype=np.int32), "arc": arc_of.astype(np.int32)}))
     keyed = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), cell.cast("int").alias("cell"), F.monotonically_increasing_id().alias("place"))
     rows = materialize(keyed.join(F.broadcast(arcs), "cell").drop("cell"), "rows")
     counts = [0] * len(cells)
