@@ -480,6 +480,9 @@ def test_op5_verdict(spark, monkeypatch):
         assert x.kept == (not failed and not (of_class or 0) > 0.29 and not (of_words or 0) > 0.30)
         verdicts[failed, x.kept] += 1
     assert verdicts[False, True] > 30 and verdicts[False, False] >= 3 and got[52][0].kept and not got[72][0].kept
+    passed = Counter((i, text) for i, text, _ in rows if got[i][0].kept)
+    whole = op5_divergence.kept_rows(df)
+    assert whole.schema == df.schema and Counter((x.doc_id, x.text) for x in whole.collect()) == passed
     known = op5_divergence.references(op5_divergence.measure(df))
     assert {x.doc_id: x.kept for x in op5_divergence.quality(df.where("doc_id = 72"), known).collect()} == {72: False}
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbaspark.llm.tables import chunks, documents, map_arrow
-from verbaspark.runtime import materialize
+from verbaspark.runtime import materialize, scratch
 
 #: Common words of each language.
 COMMON = {
@@ -45,6 +45,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE, PARTS = 200, 80, 5000, 1000
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.29, 0.30
 
+#: What is measured of a document.
+MEASURED = {k: pa.int64() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+MEASURED |= {"reference": pa.string(), "classes": pa.list_(pa.int64()), "common": pa.list_(pa.int64()), "base_failed": pa.bool_()}
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -92,41 +96,44 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def counted(texts: pa.Array, langs: pa.Array, table: np.ndarray) -> list[pa.Array]:
+    """The columns of ``MEASURED`` for a slice of documents; ``table`` is ``class_table()``."""
+    place = {k: {w: i for i, w in enumerate(v.split())} for k, v in COMMON.items()}
+    cols: list[list] = [[] for _ in MEASURED]
+    for text, lang in zip(texts.to_pylist(), langs.to_pylist(), strict=True):
+        text = text or ""
+        words = _WORD.findall(text)
+        cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        classes = np.bincount(table[np.minimum(cp, 0x10FFFF)], minlength=N_CLASSES)
+        lang = lang or ""
+        common = place.get(lang, {})
+        counts = [0] * (len(common) + 1)
+        for w in words:
+            counts[common.get(w, -1)] += 1
+        if counts[-1]:  # words next to marks or capitals
+            for w in words:
+                if w not in common and (i := common.get(w.strip(_STRIP).lower(), -1)) >= 0:
+                    counts[i] += 1
+                    counts[-1] -= 1
+        n = len(words)
+        symbols = int(classes[6])
+        repeats = repeated_words(words)
+        failed = n < 20 or 100 * repeats > 30 * n
+        for col, x in zip(cols, (n, sum(map(len, words)), symbols, repeated_lines(text), repeats, lang, classes.tolist(), counts, failed), strict=True):
+            col.append(x)
+    return [pa.array(c, t) for c, t in zip(cols, MEASURED.values(), strict=True)]
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """One row for each document: the base rules' counts, its reference's name and its two histograms."""
+    """One row for each document: the base rules' counts, its reference's name, its two histograms and whether the base rules fail it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = class_table()
-        place = {k: {w: i for i, w in enumerate(v.split())} for k, v in COMMON.items()}
         for batch in chunks(batches):
-            cols: list[list] = [[] for _ in range(8)]
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or ""
-                words = _WORD.findall(text)
-                cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-                classes = np.bincount(table[np.minimum(cp, 0x10FFFF)], minlength=N_CLASSES)
-                lang = lang or ""
-                common = place.get(lang, {})
-                counts = [0] * (len(common) + 1)
-                for w in words:
-                    counts[common.get(w, -1)] += 1
-                if counts[-1]:  # words next to marks or capitals
-                    for w in words:
-                        if w not in common and (i := common.get(w.strip(_STRIP).lower(), -1)) >= 0:
-                            counts[i] += 1
-                            counts[-1] -= 1
-                n = len(words)
-                symbols = int(classes[6])
-                repeats = repeated_words(words)
-                for col, x in zip(cols, (n, sum(map(len, words)), symbols, repeated_lines(text), repeats, lang, classes.tolist(), counts), strict=True):
-                    col.append(x)
-            types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "reference", "classes", "common"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *names])
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, reference string, classes array<long>, common array<long>"
-    measured = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), run, schema)
-    return measured.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counted(batch.column(1), batch.column(2), table)], ["doc_id", *MEASURED])
+
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, reference string, classes array<long>, common array<long>, base_failed boolean"
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), run, schema)
 
 
 def references(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -150,31 +157,55 @@ def distances(histograms: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(d / 2, 0)), 0)
 
 
+def verdicts(measured: dict[str, pa.Array], known: dict[str, tuple[np.ndarray, np.ndarray]], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kept, and both distances (NaN where guarded), of rows with the columns of ``MEASURED``."""
+    lang = np.array(measured["reference"].to_pylist(), object)
+    n_words = measured["n_words"].to_numpy()
+    n = len(lang)
+    of_class, of_words = np.full(n, np.nan), np.full(n, np.nan)
+    classes, common = measured["classes"].to_pylist(), measured["common"].to_pylist()
+    for name in set(lang.tolist()) & set(known):
+        at = np.flatnonzero(lang == name)
+        of_class[at] = distances(np.array([classes[i] for i in at], float), known[name][0])
+        if name in COMMON:
+            of_words[at] = distances(np.array([common[i] for i in at], float), known[name][1])
+    of_class[np.array([sum(c) for c in classes], np.int64) < MIN_CHARS] = np.nan
+    of_words[n_words < min_words] = np.nan
+    failed = measured["base_failed"].to_numpy(zero_copy_only=False)
+    return ~failed & ~(of_class > MAX_CLASS_DISTANCE) & ~(of_words > MAX_WORD_DISTANCE), of_class, of_words
+
+
 def judge(measured: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Adds class_distance, word_distance (null where guarded) and kept to ``measure``'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = np.array(batch.column("reference").to_pylist(), object)
-            n_words = batch.column("n_words").to_numpy()
-            n = len(lang)
-            of_class, of_words = np.full(n, np.nan), np.full(n, np.nan)
-            classes, common = batch.column("classes").to_pylist(), batch.column("common").to_pylist()
-            for name in set(lang.tolist()) & set(known):
-                at = np.flatnonzero(lang == name)
-                of_class[at] = distances(np.array([classes[i] for i in at], float), known[name][0])
-                if name in COMMON:
-                    of_words[at] = distances(np.array([common[i] for i in at], float), known[name][1])
-            of_class[np.array([sum(c) for c in classes], np.int64) < MIN_CHARS] = np.nan
-            of_words[n_words < MIN_WORDS] = np.nan
-            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            kept = ~failed & ~(of_class > MAX_CLASS_DISTANCE) & ~(of_words > MAX_WORD_DISTANCE)
+            kept, of_class, of_words = verdicts({c: batch.column(c) for c in MEASURED}, known, MIN_WORDS)
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept), pa.array(of_class, from_pandas=True), pa.array(of_words, from_pandas=True)], [*names, "kept", "class_distance", "word_distance"])
 
     return map_arrow(measured, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
 
 
+def kept_rows(docs: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns.
+
+    A row is judged where it is read and passes whole, so no copy of the table and no join carries its verdict, whatever its doc_id;
+    for that, without ``known``, the texts are measured twice, once for the references."""
+    if known is None:
+        with scratch(docs.sparkSession):
+            known = references(materialize(measure(docs), "measured"))
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = class_table()
+        for batch in chunks(batches):
+            measured = dict(zip(MEASURED, counted(batch.column(text), batch.column(lang), table), strict=True))
+            yield batch.filter(pa.array(verdicts(measured, known, MIN_WORDS)[0]))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def quality(docs: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """The counts, distances and verdict of every document, by ``known`` references or the table's own."""
     if known is not None:
