@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from verbaspark.llm.near_copies import first_rows
 from verbaspark.llm.op2_chunks import dedup, unused
-from verbaspark.llm.op5_divergence import quality
+from verbaspark.llm.op5_divergence import kept_rows
 from verbaspark.llm.op6_hilbert import pack
 from verbaspark.llm.op8_secrets import redact
 from verbaspark.runtime import materialize, shared_dir
@@ -39,10 +39,7 @@ def _kept(rows: DataFrame, row: str, kept: DataFrame, columns: list[str]) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the rules reject go; each row is judged by itself, whatever its doc_id."""
-    rows = _numbered(docs)
-    row = rows.columns[-1]
-    kept = quality(rows.select(F.col(row).alias("doc_id"), "text", "lang")).where("kept").select("doc_id")
-    return _kept(rows, row, kept, docs.columns)
+    return kept_rows(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
