@@ -6,6 +6,8 @@ units, months and marks are written out here once more, so that a wrong one in t
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,11 +192,18 @@ def cases(lang: str) -> list[Case]:
     return _english() if lang == "en" else _shared(lang)
 
 
+#: Cases that are made in one step: code for all at once is too long for the JVM to compile.
+GROUP = 15
+
+
 def spoken(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """p_partkey, case, kind and spoken form of every sentence of a language, by the language's rules."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    rows = F.array(*[F.struct(F.lit(k).alias("case"), F.lit(kind).alias("kind"), F.expr(written).alias("written")) for k, (kind, written, _) in enumerate(cases(lang))])
-    rows = part.select("p_partkey", F.explode(rows).alias("r")).select("p_partkey", "r.*").withColumn("lang", F.lit(lang))
+    from verbaspark.plans.registry import _spread, _table
+
+    part = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"))
+    made = [F.struct(F.lit(k).alias("case"), F.lit(kind).alias("kind"), F.expr(written).alias("written")) for k, (kind, written, _) in enumerate(cases(lang))]
+    parts = [part.select("p_partkey", F.explode(F.array(*made[k : k + GROUP])).alias("r")) for k in range(0, len(made), GROUP)]
+    rows = functools.reduce(DataFrame.unionAll, parts).select("p_partkey", "r.*").withColumn("lang", F.lit(lang))
     return multilingual.normalize(rows, "lang", "written", "spoken").select("p_partkey", "case", "kind", "spoken")
 
 
