@@ -28,3 +28,16 @@ def test_memo_changes_no_answer():
     assert [english.normalize_again(t) for t in texts] == [english.normalize_one(t) for t in texts]
     assert multilingual.normalize_again("ab 12 cd", "de") == "ab zwölf cd"
     assert multilingual._remembered.cache_info().hits == 1 and multilingual._remembered.cache_info().maxsize == english.MEMO
+
+
+def test_words_beyond_the_twins(spark, great_parts):
+    """The SQL twins count to 999,999 (Kinyarwanda: 9,999); the queries count on."""
+    from verbaspark.functions import worldwords
+    from verbaspark.plans import registry
+
+    said = {lang: {r.p_partkey: r.words for r in registry.QUERIES[f"cardinal_{lang}"](spark, great_parts).collect()} for lang in ("ar", "hu", "hy", "it", "pt", "ru", "rw", "sv", "vi")}
+    assert all(words == worldwords.words(n, lang) for lang, rows in said.items() for n, words in rows.items())
+    assert said["vi"][1000001] == "một triệu linh một" and said["pt"][1001000] == "um milhão e mil" and said["ru"][1199999].startswith("один миллион сто девяносто девять тысяч ")
+    assert said["rw"][10000] == "ibihumbi icumi"
+    spoken = {r.p_partkey: r.spoken for r in sentences.spoken(spark, great_parts, "vi").where("kind = 'cardinal'").collect()}
+    assert spoken == {n: f"ab {words} cd" for n, words in said["vi"].items()}
