@@ -6,6 +6,7 @@ import functools
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,15 @@ from verbaspark.llm import pretokens
 MEMO, MEMO_BYTES = 1 << 18, 64
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign by which a byte-level vocabulary writes each byte: itself where it shows, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_SIGNS = byte_signs()
+
+
 class LibraryIds:
     """Ids of distinct pre-tokens by the tokenizers library; those seen lately are looked up.
 
@@ -29,6 +39,7 @@ class LibraryIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.normalized = normalized
         if normalized:  # the whole texts already are; a part alone may order its marks anew
             self.library.normalizer = None
         self.young: dict[bytes, bytes] = {}
@@ -40,27 +51,30 @@ class LibraryIds:
                 self.old, self.young = self.young, {}
             self.young[token] = ids
 
+    def _fresh(self, tokens: list[bytes]) -> Iterator[bytes]:
+        """The ids of pre-tokens by the library; a byte-level one goes to its model at once, since it need not be split again."""
+        if not self.normalized:
+            model = self.library.model
+            return (array("i", [t.id for t in model.tokenize(token.decode("latin-1").translate(_SIGNS))]).tobytes() for token in tokens)
+        return (array("i", e.ids).tobytes() for e in self.library.encode_batch_fast([token.decode() for token in tokens], add_special_tokens=False))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens ``data[offsets[i]:offsets[i+1]]``: all ids in a row, and how many each has."""
         raw, at = data.tobytes(), offsets.tolist()
         tokens = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        out: list[bytes] = [b""] * len(tokens)
+        out = list(map(self.young.get, tokens))
         fresh = []
-        for i, token in enumerate(tokens):
-            ids = self.young.get(token)
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = out[i] = self.old.get(tokens[i])
             if ids is None:
-                ids = self.old.get(token)
-                if ids is None:
-                    fresh.append(i)
-                    continue
-                self._remember(token, ids)
-            out[i] = ids
+                fresh.append(i)
+            else:
+                self._remember(tokens[i], ids)
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
-            encoded = self.library.encode_batch_fast([tokens[i].decode() for i in part], add_special_tokens=False)
-            for i, e in zip(part, encoded, strict=True):
-                out[i] = array("i", e.ids).tobytes()
-                self._remember(tokens[i], out[i])
+            for i, ids in zip(part, self._fresh([tokens[i] for i in part]), strict=True):
+                out[i] = ids
+                self._remember(tokens[i], ids)
         return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
 
