@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 import struct
 from dataclasses import dataclass, field
@@ -40,6 +41,12 @@ def basis() -> np.ndarray:
     return np.rint(full[zigzag()] * 65536)
 
 
+@functools.lru_cache(64)
+def scaled(quant: bytes) -> np.ndarray:
+    """The basis for coefficients that are still to be multiplied by 64 steps of eight bytes each; sums stay exact."""
+    return basis() * np.frombuffer(quant, np.int64)[:, None]
+
+
 @functools.lru_cache(256)
 def lookup(spec: bytes) -> tuple[list[int], list[tuple[int, int]]]:
     """(length << 8 | symbol) for each 16 bits that may come next, and the table's (length, symbol) pairs."""
@@ -56,6 +63,25 @@ def lookup(spec: bytes) -> tuple[list[int], list[tuple[int, int]]]:
     return table.tolist(), pairs
 
 
+@functools.lru_cache(16)
+def differences(spec: bytes) -> list[int]:
+    """For each 16 bits that may come next, code and value at once: (value + 65536) << 8 | length of both; 0 where they are longer."""
+    table = np.array(lookup(spec)[0])
+    size = table & 255
+    total = np.where(table, (table >> 8) + size, 17)
+    size = np.where(total <= 16, size, 0)
+    value = np.arange(1 << 16) >> np.maximum(16 - total, 0) & (1 << size) - 1
+    value -= np.where(value >> np.maximum(size - 1, 0), 0, (1 << size) - 1)
+    return np.where(total <= 16, value + 65536 << 8 | total, 0).tolist()
+
+
+@functools.lru_cache(64)
+def magnitudes(size: int, low: int) -> np.ndarray:
+    """What a byte gives whose last ``size`` bits are a coefficient's."""
+    value = np.arange(256, dtype=np.int32) & (1 << size) - 1
+    return np.where(value >> (size - 1), value, value - (1 << size) + 1).astype(np.int32) * (1 << low)
+
+
 class Bits:
     """Reads bits of one restart interval."""
 
@@ -82,6 +108,15 @@ class Bits:
         self.at += n
         return got
 
+    def word(self, n: int) -> int:
+        """The next n bits as a number, however many."""
+        end = self.at + n
+        if end > 8 * len(self.padded):
+            raise ValueError("the scan's data end too early")
+        got = int.from_bytes(self.padded[self.at >> 3 : (end + 7) >> 3], "big") >> (-end & 7) & (1 << n) - 1
+        self.at = end
+        return got
+
     def many(self, n: int) -> np.ndarray:
         """The next n bits as an array."""
         first = self.at >> 3
@@ -93,10 +128,6 @@ class Bits:
         return bits
 
 
-def _extend(value: int, size: int) -> int:
-    return value if not size or value >> (size - 1) else value - (1 << size) + 1
-
-
 @dataclass
 class Component:
     h: int
@@ -104,8 +135,7 @@ class Component:
     quant: int
     blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 64), np.int32))
     shown: tuple[int, int] = (0, 0)
-    dc: list[int] | None = None
-    ac: tuple | None = None
+    order: np.ndarray | None = None
 
 
 @dataclass
@@ -161,7 +191,8 @@ def coefficients(data: bytes, most: int = MOST_PIXELS) -> Image:
             found = _MARKER.search(data, at)
             if not found:
                 raise ValueError("no end of the image")
-            _scan(image, body, _RESTART.split(data[at : found.start()]), tables, interval)
+            piece = data[at : found.start()]
+            _scan(image, body, _RESTART.split(piece) if b"\xff" in piece else [piece], tables, interval)
             at = found.end() - 2
     if image is None:
         raise ValueError("no frame")
@@ -223,8 +254,12 @@ def _scan(image: Image, body: bytes, pieces: list[bytes], tables: dict[int, byte
 
 
 def _mcu_order(c: Component) -> np.ndarray:
-    rows, cols = c.blocks.shape[:2]
-    return np.arange(rows * cols).reshape(rows // c.v, c.v, cols // c.h, c.h).transpose(0, 2, 1, 3).ravel()
+    if c.order is None:
+        rows, cols = c.blocks.shape[:2]
+        c.order = np.arange(rows * cols)
+        if c.h > 1 or c.v > 1:
+            c.order = c.order.reshape(rows // c.v, c.v, cols // c.h, c.h).transpose(0, 2, 1, 3).ravel()
+    return c.order
 
 
 def _dc(reader: Bits, parts: list[tuple], units: int, high: int, low: int) -> None:
@@ -236,18 +271,30 @@ def _dc(reader: Bits, parts: list[tuple], units: int, high: int, low: int) -> No
             column[order] |= bits[:, at : at + m].reshape(-1) << low
             at += m
         return
-    symbol, take = reader.symbol, reader.take
-    tables = [lookup(p[3])[0] for p in parts]
+    tables = [differences(p[3]) for p in parts]
     values: list[list[int]] = [[] for _ in parts]
     last = [0] * len(parts)
-    plan = [(k, tables[k]) for k, p in enumerate(parts) for _ in range(p[2])]
+    plan = [(k, tables[k], values[k].append) for k, p in enumerate(parts) for _ in range(p[2])]
+    b, at, n = reader.padded, reader.at, len(reader.data)
     for _ in range(units):
-        for k, table in plan:
-            size = symbol(table)
-            if size:
-                v = take(size)
+        for k, table, append in plan:
+            i = at >> 3
+            if i > n:
+                raise ValueError("the scan's data end too early")
+            both = table[(b[i] << 16 | b[i + 1] << 8 | b[i + 2]) >> (8 - (at & 7)) & 0xFFFF]
+            if both:
+                at += both & 255
+                last[k] += (both >> 8) - 65536
+            else:
+                reader.at = at
+                size = reader.symbol(lookup(parts[k][3])[0])
+                if size > 16:
+                    raise ValueError("a difference of too many bits")
+                v = reader.take(size)
                 last[k] += v if v >> (size - 1) else v - (1 << size) + 1
-            values[k].append(last[k])
+                at = reader.at
+            append(last[k])
+    reader.at = at
     for k, (column, order, _, _) in enumerate(parts):
         column[order] = np.array(values[k], np.int32) << low
 
@@ -258,39 +305,64 @@ def _ac_first(reader: Bits, blocks: np.ndarray, first: int, last: int, low: int,
         length, size = pairs[0]
         each, n = length + size, blocks.shape[0] * (last - first + 1)
         if each == 8 and not reader.at and len(reader.data) >= n:
-            value = (np.frombuffer(reader.data, np.uint8, n) & ((1 << size) - 1)).astype(np.int32)
+            value = magnitudes(size, low).take(np.frombuffer(reader.data, np.uint8, n))
         else:
             value = reader.many(n * each).reshape(n, each)[:, length:] @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
-        value = np.where(value >> (size - 1), value, value - (1 << size) + 1)
-        blocks[:, first : last + 1] = (value * (1 << low)).reshape(blocks.shape[0], -1)
+            value = np.where(value >> (size - 1), value, value - (1 << size) + 1) * (1 << low)
+        blocks[:, first : last + 1] = value.reshape(blocks.shape[0], -1)
         return
-    run = 0
+    run, symbol, take = 0, reader.symbol, reader.take
     for b in range(len(blocks)):
         if run:
             run -= 1
             continue
         k = first
         while k <= last:
-            code = reader.symbol(table)
+            code = symbol(table)
             r, size = code >> 4, code & 15
             if size:
                 k += r
                 if k > last:
                     raise ValueError("a run beyond the band")
-                blocks[b, k] = _extend(reader.take(size), size) * (1 << low)
+                v = take(size)
+                blocks[b, k] = (v if v >> (size - 1) else v - (1 << size) + 1) * (1 << low)
                 k += 1
             elif r == 15:
                 k += 16
             else:
-                run = (1 << r) - 1 + reader.take(r)
+                run = (1 << r) - 1 + take(r)
                 break
 
 
+def _correct_row(reader: Bits, row: list[int], known: list[int], one: int) -> None:
+    """One correction bit for each of the places ``known``."""
+    bits = reader.word(len(known))
+    if bits:
+        for k in reversed(known):
+            v = row[k]
+            if bits & 1 and not v & one:
+                row[k] = v + one if v > 0 else v - one
+            bits >>= 1
+
+
 def _correct(reader: Bits, part: np.ndarray, low: int) -> None:
     """One correction bit for each coefficient that is not zero."""
-    if part.size and part.all():
-        more = reader.many(part.size).reshape(part.shape).astype(bool) & ((part & (1 << low)) == 0)
-        part += np.where(part > 0, 1 << low, -(1 << low)) * more
+    if part.size <= 64:  # too few for array operations to pay
+        rows = part.tolist()
+        known = [[k for k, v in enumerate(row) if v] for row in rows]
+        if reader.at + sum(map(len, known)) > 8 * len(reader.data):
+            raise ValueError("the scan's data end too early")
+        for row, places in zip(rows, known, strict=True):
+            _correct_row(reader, row, places, 1 << low)
+        part[...] = rows
+        return
+    if part.all():
+        step = reader.many(part.size).reshape(part.shape).astype(np.int32) << low
+        step &= ~part
+        sign = part >> 31
+        step ^= sign
+        step -= sign
+        part += step
         return
     at = np.nonzero(part)
     if not len(at[0]):
@@ -300,36 +372,44 @@ def _correct(reader: Bits, part: np.ndarray, low: int) -> None:
 
 
 def _ac_refine(reader: Bits, blocks: np.ndarray, first: int, last: int, low: int, spec: bytes) -> None:
-    table = lookup(spec)[0]
+    table, symbol, take = lookup(spec)[0], reader.symbol, reader.take
+    band, wide = blocks[:, first : last + 1], last + 1 - first
     one, b = 1 << low, 0
-    while b < len(blocks):
-        k, run = first, 0
-        row = blocks[b]
-        while k <= last:
-            code = reader.symbol(table)
+    while b < len(band):
+        k, run, row = 0, 0, None
+        while k < wide:
+            code = symbol(table)
             r, size = code >> 4, code & 15
+            if not size and r < 15:
+                run = (1 << r) + take(r)
+                break
             new = 0
             if size:
-                new = one if reader.take(1) else -one
-            elif r < 15:
-                run = (1 << r) + reader.take(r)
-                break
-            while k <= last:
-                v = int(row[k])
-                if v:
-                    if reader.take(1) and not abs(v) & one:
-                        row[k] = v + (one if v > 0 else -one)
+                new = one if take(1) else -one
+            if row is None:
+                row = band[b].tolist()
+            known = []
+            while k < wide:
+                if row[k]:
+                    known.append(k)
                 elif r:
                     r -= 1
                 else:
                     break
                 k += 1
-            if new and k <= last:
+            if known:
+                _correct_row(reader, row, known, one)
+            if new and k < wide:
                 row[k] = new
             k += 1
-        if run:
-            _correct(reader, row[k : last + 1], low)
-            _correct(reader, blocks[b + 1 : b + run, first : last + 1], low)
+        if row is not None:
+            if run:
+                _correct_row(reader, row, [j for j in range(k, wide) if row[j]], one)
+            band[b] = row
+            if run > 1:
+                _correct(reader, band[b + 1 : b + run], low)
+        elif run:
+            _correct(reader, band[b : b + run], low)
         b += max(run, 1)
 
 
@@ -339,20 +419,26 @@ def rgb(image: Image) -> np.ndarray:
     planes = []
     for c in image.components.values():
         rows, cols = c.blocks.shape[:2]
-        flat = (c.blocks.reshape(-1, 64) * image.quants[c.quant]).astype(np.float64) @ basis()
-        samples = np.clip(np.floor(flat * (1 / 65536) + 128.5), 0, 255).astype(np.int16)
+        flat = c.blocks.reshape(-1, 64).astype(np.float64) @ scaled(image.quants[c.quant].tobytes())
+        flat *= 1 / 65536
+        flat += 128.5
+        samples = flat.clip(0, 255, out=flat).astype(np.int32)
         plane = samples.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-        if c.h != h or c.v != v:  # any ratio: each place takes the sample that covers it
+        if v == 2 * c.v and h == 2 * c.h:
+            plane = plane.repeat(2, 0).repeat(2, 1)
+        elif c.h != h or c.v != v:  # any ratio: each place takes the sample that covers it
             plane = plane[np.arange(image.height) * c.v // v][:, np.arange(image.width) * c.h // h]
         planes.append(plane[: image.height, : image.width])
     if len(planes) == 1:
         return np.repeat(planes[0][..., None].astype(np.uint8), 3, 2)
-    y = planes[0].astype(np.int32) << 16
-    blue, red = planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+    y, blue, red = planes
+    y = (y << 16) + (1 << 15)
+    blue, red = blue - 128, red - 128
     out = np.empty((image.height, image.width, 3), np.uint8)
-    half = 1 << 15
-    for k, value in enumerate((y + 91881 * red + half, y - 22554 * blue - 46802 * red + half, y + 116130 * blue + half)):
-        out[..., k] = np.clip(value >> 16, 0, 255)
+    for k, value in enumerate((91881 * red, -22554 * blue - 46802 * red, 116130 * blue)):
+        value += y
+        value >>= 16
+        out[..., k] = value.clip(0, 255, out=value)
     return out
 
 
@@ -378,8 +464,16 @@ def _start(parts: list[int], first: int, last: int, high: int, low: int) -> byte
 
 def _stuffed(bits: np.ndarray) -> bytes:
     """Bits to bytes, filled up with ones."""
-    full = np.append(bits, np.ones(-len(bits) % 8, np.uint8)) if len(bits) % 8 else bits
-    return np.packbits(full).tobytes().replace(b"\xff", b"\xff\x00")
+    out = bytearray(np.packbits(bits))
+    if len(bits) % 8:
+        out[-1] |= (1 << -len(bits) % 8) - 1
+    return bytes(out.replace(b"\xff", b"\xff\x00"))
+
+
+def _packed(bits: str) -> bytes:
+    """The same for digits."""
+    bits += "1" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
 
 
 _HEAD = b"\xff\xd8" + _segment(0xDB, bytes([0]) + bytes([1] * 64))
@@ -387,27 +481,42 @@ _DC_TABLE = _table(0x00, {4: list(range(9))})
 _AC_TABLE = _table(0x10, {1: [0x07]})
 
 
-def _dc_first(values: np.ndarray, unit: list[slice], n_parts: list[int]) -> bytes:
-    """values: for each unit its blocks' DC >> 1, by component; differences as 4 bits of size and the size's bits."""
-    diff = np.empty_like(values)
-    for s in unit:
-        flat = values[:, s].ravel()
-        diff[:, s] = np.diff(flat, prepend=0).reshape(values.shape[0], -1)
-    diff = diff.ravel().astype(np.int64)
-    size = np.zeros(len(diff), np.int64)
-    for k in range(9):
-        size += np.abs(diff) >> k > 0
-    word = size << size | np.where(diff < 0, diff + (1 << size) - 1, diff)
-    n = size + 4
-    ends = np.cumsum(n)
-    shift = np.repeat(ends, n) - 1 - np.arange(int(ends[-1]))
-    return _stuffed((np.repeat(word, n) >> shift & 1).astype(np.uint8))
+@functools.cache
+def _begin(parts: tuple[int, ...], first: int, last: int, high: int, low: int) -> bytes:
+    return _start(list(parts), first, last, high, low)
+
+
+def _value(v: int) -> str:
+    """The bits of a coefficient or difference."""
+    size = abs(v).bit_length()
+    return f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if v else ""
+
+
+@functools.cache
+def _difference_words() -> list[str]:
+    """For differences 0 to 255 and, from the end, -1 to -255: four bits of size and the size's bits."""
+    return [f"{abs(v).bit_length():04b}{_value(v)}" for v in (*range(256), *range(-255, 0))]
+
+
+def _dc_first(values: np.ndarray) -> bytes:
+    """values: for each unit four blocks' DC >> 1 of luma, then one of either chroma."""
+    diff = values.copy()
+    diff[:, 1:4] -= values[:, :3]
+    diff[1:, 0] -= values[:-1, 3]
+    diff[1:, 4:] -= values[:-1, 4:]
+    words = _difference_words()
+    return _packed("".join([words[v] for v in diff.ravel().tolist()]))
+
+
+@functools.cache
+def _runs_table(kinds: tuple[int, ...]) -> bytes:
+    return _table(0x10, {k + 1: [r << 4] for k, r in enumerate(kinds)})
 
 
 def _ac_corrections(bits: np.ndarray) -> tuple[bytes, bytes]:
     """The table and data of a refinement: runs of blocks with correction bits only."""
     runs = [32767] * (len(bits) // 32767) + [len(bits) % 32767] * (len(bits) % 32767 > 0)
-    kinds = sorted({n.bit_length() - 1 for n in runs}, reverse=True)
+    kinds = tuple(sorted({n.bit_length() - 1 for n in runs}, reverse=True))
     out, at = [], 0
     for n in runs:
         r = n.bit_length() - 1
@@ -415,7 +524,7 @@ def _ac_corrections(bits: np.ndarray) -> tuple[bytes, bytes]:
         out.append(np.array(code + [(n >> k) & 1 for k in range(r - 1, -1, -1)], np.uint8))
         out.append(bits[at : at + n].ravel())
         at += n
-    return _table(0x10, {k + 1: [r << 4] for k, r in enumerate(kinds)}), _stuffed(np.concatenate(out))
+    return _runs_table(kinds), _stuffed(np.concatenate(out))
 
 
 #: The band of the last component that holds signed values: first coefficient, how far a byte lies above its value, first point transform.
@@ -471,26 +580,32 @@ class _Writer:
 
     def data(self) -> bytes:
         self.end_bands()
-        bits = "".join(self.out)
-        bits += "1" * (-len(bits) % 8)
-        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+        return _packed("".join(self.out))
+
+
+@functools.cache
+def _run_words() -> dict[int, str]:
+    """The symbol and bits of a value below 256 after a run, by run << 9 | value & 511."""
+    codes = _run_codes()[1]
+    return {r << 9 | v & 511: f"{codes[r << 4 | abs(v).bit_length()][0]:0{codes[r << 4 | abs(v).bit_length()][1]}b}{_value(v)}" for r in range(16) for v in range(-255, 256) if v}
 
 
 def _write_first(band: np.ndarray, low: int) -> bytes:
     """A first pass over a band, the magnitudes shifted by ``low``."""
-    w = _Writer()
+    w, words = _Writer(), _run_words()
+    out = w.out
     for row in (np.sign(band) * (np.abs(band) >> low)).tolist():
         run = 0
         for v in row:
             if not v:
                 run += 1
                 continue
-            w.end_bands()
+            if w.ends:
+                w.end_bands()
             while run > 15:
                 w.symbol(0xF0)
                 run -= 16
-            size = abs(v).bit_length()
-            w.symbol(run << 4 | size, v if v > 0 else v + (1 << size) - 1, size)
+            out.append(words[run << 9 | v & 511])
             run = 0
         if run:
             w.end_block([])
@@ -499,26 +614,27 @@ def _write_first(band: np.ndarray, low: int) -> bytes:
 
 def _write_refinement(band: np.ndarray, low: int) -> bytes:
     """The next bit of the coefficients that are known, and those that it makes new."""
-    w = _Writer()
+    w, words = _Writer(), _run_words()
+    out = w.out
     for row in (np.sign(band) * (np.abs(band) >> low)).tolist():
         run, held = 0, []
-        left = sum(v in (1, -1) for v in row)
+        left = row.count(1) + row.count(-1)
         for v in row:
-            if v in (0, 1, -1):
-                if v:
-                    w.end_bands()
-                    w.symbol(run << 4 | 1, int(v > 0), 1)
-                    w.out += held
-                    run, held, left = 0, [], left - 1
-                elif run == 15 and left:
+            if v > 1 or v < -1:
+                held.append("1" if v & 1 else "0")
+            elif v:
+                if w.ends:
                     w.end_bands()
-                    w.symbol(0xF0)
-                    w.out += held
-                    run, held = 0, []
-                else:
-                    run += 1
+                out.append(words[run << 9 | v & 511])
+                out += held
+                run, held, left = 0, [], left - 1
+            elif run == 15 and left:
+                w.end_bands()
+                w.symbol(0xF0)
+                out += held
+                run, held = 0, []
             else:
-                held.append(str(abs(v) & 1))
+                run += 1
         if run or held:
             w.end_block(held)
     return w.data()
@@ -533,34 +649,38 @@ def encode(payload: bytes) -> bytes:
     The payload fills luma, then both chroma planes; what is left holds zero bytes. A comment has its length.
     """
     units = max(1, -(-len(payload) // 384))
-    across = int(np.ceil(np.sqrt(units)))
+    across = math.isqrt(units - 1) + 1
     down = -(-units // across)
     units = across * down
     raw = np.frombuffer(payload + bytes(units * 384 - len(payload)), np.uint8)
-    planes = [raw[: units * 256].reshape(-1, 64), raw[units * 256 : units * 320].reshape(-1, 64), raw[units * 320 :].reshape(-1, 64)]
+    ends = (0, units * 4, units * 5, units * 6)
+    blocks = raw.reshape(-1, 64)
+    half, last_bits = blocks >> 1, (blocks & 1) ^ (blocks < 128)
     comment = _segment(0xFE, str(len(payload)).encode())
     frame = _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
-    dc = [np.where(p[:, 0] >= 128, p[:, 0].astype(np.int16), p[:, 0].astype(np.int16) - 255) for p in planes]
-    luma = dc[0].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(units, 4)
-    joined = np.hstack([luma, dc[1][:, None], dc[2][:, None]])
-    out = [_HEAD, comment, frame, _DC_TABLE, _start([1, 2, 3], 0, 0, 0, 1), _dc_first(joined >> 1, [slice(0, 4), slice(4, 5), slice(5, 6)], [4, 1, 1]), _AC_TABLE]
+    dc = blocks[:, 0].astype(np.int16)
+    dc -= (dc < 128) * np.int16(255)
+    joined = np.empty((units, 6), np.int16)
+    joined[:, :4] = dc[: ends[1]].reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(units, 4)
+    joined[:, 4:] = dc[ends[1] :].reshape(2, units).T
+    out = [_HEAD, comment, frame, _DC_TABLE, _begin((1, 2, 3), 0, 0, 0, 1), _dc_first(joined >> 1), _AC_TABLE]
     for part, first, last in ((1, 1, 5), (2, 1, 63), (3, 1, BAND - 1), (1, 6, 63)):
         # A code of one bit, zero, and seven bits: a byte below 128 each, so none needs stuffing.
-        out += [_start([part], first, last, 0, 1), (planes[part - 1][:, first : last + 1] >> 1).tobytes()]
-    out += [_start([1, 2, 3], 0, 0, 1, 0), _stuffed((joined & 1).astype(np.uint8).ravel())]
+        out += [_begin((part,), first, last, 0, 1), half[ends[part - 1] : ends[part], first : last + 1].tobytes()]
+    out += [_begin((1, 2, 3), 0, 0, 1, 0), _stuffed((joined & 1).astype(np.uint8).ravel())]
     for part, last in ((1, 63), (2, 63), (3, BAND - 1)):
-        plane = planes[part - 1][:, 1 : last + 1]
-        table, data = _ac_corrections(((plane & 1) ^ (plane < 128)).astype(np.uint8))
-        out += [table, _start([part], 1, last, 1, 0), data]
-    band = planes[2][:, BAND:].astype(np.int16) - ABOVE
-    out += [_run_codes()[0], _start([3], BAND, 63, 0, SHIFT), _write_first(band, SHIFT)]
+        table, data = _ac_corrections(last_bits[ends[part - 1] : ends[part], 1 : last + 1])
+        out += [table, _begin((part,), 1, last, 1, 0), data]
+    band = blocks[ends[2] :, BAND:].astype(np.int16) - ABOVE
+    out += [_run_codes()[0], _begin((3,), BAND, 63, 0, SHIFT), _write_first(band, SHIFT)]
     for low in range(SHIFT - 1, -1, -1):
-        out += [_start([3], BAND, 63, low + 1, low), _write_refinement(band, low)]
+        out += [_begin((3,), BAND, 63, low + 1, low), _write_refinement(band, low)]
     return b"".join([*out, b"\xff\xd9"])
 
 
 def payload(image: Image) -> bytes:
     """What ``encode`` stored."""
-    parts = [np.where(c.blocks > 0, c.blocks, c.blocks + 255).reshape(-1, 64) for c in image.components.values()]
+    parts = [c.blocks.reshape(-1, 64) for c in image.components.values()]
+    parts = [(p + (p >> 31)).astype(np.uint8) for p in parts]  # b - 255 less 1 is b, but for a multiple of 256
     parts[2][:, BAND:] = image.components[3].blocks.reshape(-1, 64)[:, BAND:] + ABOVE
-    return np.concatenate([p.ravel() for p in parts]).astype(np.uint8).tobytes()[: int(image.comment)]
+    return b"".join(parts)[: int(image.comment)]

@@ -31,7 +31,7 @@ def tensors(images: DataFrame, key: str, column: str, most: int = jpeg.MOST_PIXE
             for raw in batch.column(1).to_pylist():
                 try:
                     got = jpeg.decode(raw, most) if raw else None
-                except (ValueError, IndexError, KeyError, TypeError, MemoryError, struct.error):  # whatever damaged bytes lead to
+                except (ValueError, IndexError, KeyError, TypeError, OverflowError, MemoryError, struct.error):  # whatever damaged bytes lead to
                     got = None
                 shapes.append((None, None) if got is None else got.shape[:2])
                 data.append(None if got is None else got.tobytes())
@@ -48,7 +48,7 @@ def padded(text: bytes) -> bytes:
 def feature(pixels: np.ndarray) -> str:
     """Size, channel means in thousandths, and a checksum of the tensor."""
     h, w = pixels.shape[:2]
-    means = pixels.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (h * w)
+    means = pixels.reshape(h, -1).sum(0, dtype=np.int64).reshape(w, 3).sum(0) * 1000 // (h * w)
     return f"{w}x{h}:{means[0]}:{means[1]}:{means[2]}:{zlib.crc32(pixels):08x}"
 
 
